@@ -148,26 +148,35 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     return _map(df, ids_col, out, T.StringType(), pa.string(), path or model_path(), "decode")
 
 
-def encoded_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, without moving the ids themselves."""
+def encoded_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, and ``ids`` if asked for; narrow."""
     workers_import(df.sparkSession)
     where = path or model_path()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_table(where)
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-        for b in batches:
-            counts, ids, texts = [], [], []
-            for v in b.column(1):
-                got = chunks.encode(v.as_py())
-                counts.append(len(got))
-                ids.append(sha(chunks.joined(got)))
-                texts.append(sha(chunks.decode(got)))
-            arrays = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                counts, digests, texts, kept = [], [], [], []
+                for v in b.column(1):
+                    got = chunks.encode(v.as_py())
+                    counts.append(len(got))
+                    digests.append(sha(chunks.joined(got)))
+                    texts.append(sha(chunks.decode(got)))
+                    if with_ids:
+                        kept.append(pa.array(got, pa.int32()))
+                arrays = [b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+                if with_ids:
+                    ends = np.cumsum([0, *counts], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(kept)))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, kind)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
