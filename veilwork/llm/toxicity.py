@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.quality import labelled_sample
-from veilwork.llm.runtime import free_name, held_out, table, workers_import
+from veilwork.llm.runtime import durable, free_name, held_out, table, workers_import
 
 #: Labelled rows that a fit takes at most, least hashed ids first, and terms that a lexicon has at most.
 MAX_LABELLED = 8_000
@@ -69,19 +69,35 @@ class Trie:
             self.term[node] = term
 
     def near(self, word: str, edits: int = 1) -> list[tuple[int, str]]:
-        """(distance, term) of every term within ``edits``; a state is the automaton's row of distances."""
-        found, todo = [], [(0, tuple(range(len(word) + 1)))]
+        """(distance, term) of every term within ``edits``.
+
+        A state pairs a node with a state of the automaton: how much of the word is read, with how many edits.
+        """
+        found: dict[str, int] = {}
+        n, todo, seen = len(word), [(0, 0, 0)], set()
+        nexts, terms = self.next, self.term
         while todo:
-            node, row = todo.pop()
-            if self.term[node] is not None and row[-1] <= edits:
-                found.append((row[-1], self.term[node]))
-            for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-                if min(new) <= edits:
-                    todo.append((child, tuple(new)))
-        return sorted(found)
+            state = todo.pop()
+            node, i, e = state
+            if e < edits:
+                if state in seen:
+                    continue
+                seen.add(state)
+                if i < n:
+                    todo.append((node, i + 1, e + 1))
+                    c = word[i]
+                    for k, kid in nexts[node].items():
+                        todo.append((kid, i, e + 1))
+                        todo.append((kid, i + 1, e if k == c else e + 1))
+                else:
+                    todo += [(kid, i, e + 1) for kid in nexts[node].values()]
+            else:  # no edit is left: the rest of the word is the only way on
+                while i < n and node is not None:
+                    node = nexts[node].get(word[i])
+                    i += 1
+            if i == n and node is not None and terms[node] is not None:
+                found[terms[node]] = min(e, found.get(terms[node], e))
+        return sorted((e, t) for t, e in found.items())
 
 
 @dataclass
@@ -94,14 +110,15 @@ class Lexicon:
     def __post_init__(self) -> None:
         fuzzy = [w for w in self.words if len(w) >= FUZZY_FROM]
         self.trie = Trie(fuzzy)
-        self.heads: set[tuple[str, int]] = set()
-        self.tails: set[tuple[str, int]] = set()
+        # one edit leaves the first or the second half of a term whole: by length of a word, the halves it may have
+        halves: dict[int, dict[tuple[bool, int], set[str]]] = {}
         for w in fuzzy:
             half = len(w) // 2
             for n in (len(w) - 1, len(w), len(w) + 1):
-                self.heads.add((w[:half], n))
-                self.tails.add((w[half:], n))
-        self.cuts = sorted({len(h) for h, _ in self.heads} | {len(t) for t, _ in self.tails})
+                mine = halves.setdefault(n, {})
+                mine.setdefault((True, half), set()).add(w[:half])
+                mine.setdefault((False, len(w) - half), set()).add(w[half:])
+        self.halves = {n: [(first, k, got) for (first, k), got in m.items()] for n, m in halves.items()}
         self.stem_lengths = sorted({len(s) for s in self.stems})
         self.seen: dict[str, tuple[float, bool] | None] = {}
 
@@ -118,39 +135,43 @@ class Lexicon:
             best = max(best, self.stems.get(word[:n], 0.0))
         if best:
             return best, False
-        n = len(word)
-        if n >= FUZZY_FROM - 1 and any((word[:c], n) in self.heads or (word[n - c :], n) in self.tails for c in self.cuts):
-            near = self.trie.near(word)
-            if near:
-                return max(self.words[t] for _, t in near), True
+        for first, k, halves in self.halves.get(len(word), ()):
+            if (word[:k] if first else word[-k:]) in halves:
+                near = self.trie.near(word)
+                return (max(self.words[t] for _, t in near), True) if near else None
         return None
 
     def hit(self, word: str) -> tuple[float, bool] | None:
         """(weight, whether by an edit), or none."""
-        if len(self.seen) > KEPT_WORDS:
-            self.seen.clear()
-        got = self.seen[word] = self._find(word)
-        return got
+        if word not in self.seen:
+            self.seen[word] = self._find(word)
+        return self.seen[word]
 
     def features(self, text: str | None) -> list[float]:
         """``FEATURES`` of a whole text."""
         text = (text or "").lower()
         words = _WORD.findall(text)
-        seen = self.seen
-        hits = {w for w in set(words) if (seen[w] if w in seen else self.hit(w))}
+        if len(self.seen) > KEPT_WORDS:
+            self.seen.clear()
+        seen, unique = self.seen, set(words)
+        for w in unique:
+            if w not in seen:
+                seen[w] = self._find(w)
+        hits = {w for w in unique if seen[w] is not None}
         if not hits:
             return [0.0] * len(FEATURES)
-        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+        # offsets are only needed where quotation marks could enclose a hit
+        spans = [m.span() for m in _WORD.finditer(text)] if any(q in text for q in _QUOTES) else None
         sums, count = {}, 0
-        for i, (start, end, w) in enumerate(spans):
-            if w not in hits:
-                continue
-            weight, edited = seen[w] if w in seen else self.hit(w)
-            around = {x for _, _, x in spans[max(0, i - WINDOW) : i] + spans[i + 1 : i + 1 + WINDOW]}
-            kind = "quoted" if around & REPORTING or _inside_quotes(text, start, end) else "fuzzy" if edited else "abuse"
+        for i in [i for i, w in enumerate(words) if w in hits]:
+            w = words[i]
+            weight, edited = seen[w]
+            around = {*words[max(0, i - WINDOW) : i], *words[i + 1 : i + 1 + WINDOW]}
+            quoted = not around.isdisjoint(REPORTING) or spans is not None and _inside_quotes(text, *spans[i])
+            kind = "quoted" if quoted else "fuzzy" if edited else "abuse"
             count += 1
             sums[kind, w] = max(sums.get((kind, w), 0.0), weight)
-            if kind != "quoted" and around & ADDRESS:
+            if not quoted and not around.isdisjoint(ADDRESS):
                 sums["address", w] = weight
         total = lambda kind: math.log1p(sum(v for (k, _), v in sums.items() if k == kind)) * 2
         return [total("abuse"), total("quoted"), total("fuzzy"), total("address"), min(5.0, 100 * count / len(words))]
@@ -191,7 +212,7 @@ def learn_lexicon(rows: DataFrame, text_col: str) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array([*words, *(f"{s}*" for s in stems)], pa.string()), pa.array([y] * (len(words) + len(stems)), pa.int32())], ["term", "y"])
 
     terms = rows.select(F.col(text_col).cast("string"), F.col("_veil_y").cast("int")).mapInArrow(run, "term string, y int")
-    counts = terms.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("all"))
+    counts = durable(terms.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("all")).where((F.col("all") >= 2) | ~F.col("term").endswith("*")))
     totals = rows.agg(F.sum("_veil_y"), F.count("*")).first()
     p, n = int(totals[0] or 0), int(totals[1]) - int(totals[0] or 0)
     if not p or not n:
@@ -220,7 +241,7 @@ def learn_lexicon(rows: DataFrame, text_col: str) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Model:
     workers_import(docs.sparkSession)
-    rows = labelled_sample(docs.select(id_col, text_col), labels, "toxic", id_col, limit)
+    rows = durable(labelled_sample(docs.select(id_col, text_col), labels, "toxic", id_col, limit))
     lexicon = learn_lexicon(rows, text_col)
     got = rows.select("_veil_id", "_veil_y", features_column(lexicon, text_col).alias("x")).groupBy("_veil_id").agg(F.min("_veil_y").alias("y"), F.max("x").alias("x"))
     got = sorted(got.collect())  # a row for each of at most ``limit`` labels
