@@ -123,7 +123,12 @@ def truth_errors(texts: DataFrame, truth: DataFrame) -> DataFrame:
 def unannotated(docs: DataFrame, text_col: str = "text", expected_col: str = "expected") -> DataFrame:
     """``(doc_id, pattern, value)``: matches of the coarse audit patterns that touch no expected span."""
     doc = F.coalesce(F.col(text_col), F.lit(""))
-    found = [F.transform(text.find(doc, f"(?U){p}"), lambda f, n=name: F.struct(F.lit(n).alias("pattern"), f["start"].alias("start"), f["end"].alias("end"), text.piece(doc, f["start"], f["end"]).alias("value"))) for name, p in values.AUDIT.items()]
+
+    def matches(name: str, pattern: str) -> Column:
+        one = lambda f: F.struct(F.lit(name).alias("pattern"), f["start"].alias("start"), f["end"].alias("end"), text.piece(doc, f["start"], f["end"]).alias("value"))
+        return F.transform(text.find(doc, f"(?U){pattern}"), one)
+
+    found = [matches(n, p) for n, p in values.AUDIT.items()]
     df = text.hold(docs.select("doc_id", F.col(expected_col).alias("_e"), F.col(text_col)), _m=F.concat(*found))
     df = df.select("doc_id", "_e", F.explode("_m").alias("m"))
     df = df.where(~F.exists("_e", lambda e: text.overlap(e, F.col("m"))))
