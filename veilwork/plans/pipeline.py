@@ -6,7 +6,9 @@ fusion, then flags for bare series that nothing covers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions import text
@@ -18,19 +20,32 @@ def analyse(docs: DataFrame, text_col: str = "text", model_col: str | None = Non
 
     ``model_col`` names an array of a model's spans in the row; without it the branch is not in the plan at all.
     """
+    built = _columns(docs.sparkSession.sparkContext.applicationId, model_col)
     df = text.hold(docs, _doc=F.coalesce(F.col(text_col), F.lit("")))
-    doc, mark = F.col("_doc"), F.col("_mark")
-    df = text.hold(df, _mark=text.mark_for(doc))
+    for name, column in built:
+        df = text.hold(df, **{name: column})
+    return df.drop("_doc", "_mark", "_seen", "_found", "_groups")
+
+
+@lru_cache(maxsize=4)
+def _columns(application: str, model_col: str | None) -> list[tuple[str, Column]]:
+    """The steps of the analysis as columns over ``_doc``, in order.
+
+    They are several thousand expression nodes, built once an application: columns belong to no DataFrame.
+    """
+    doc, mark, spans = F.col("_doc"), F.col("_mark"), F.col("spans")
+    steps = [("_mark", text.mark_for(doc))]
     found = F.concat(rules.scan(doc, mark), references.scan(doc, mark))
     if model_col:
-        df = text.hold(df, _seen=F.concat(found, F.coalesce(F.col(model_col).cast(text.SPANS), text.none())))
+        steps.append(("_seen", F.concat(found, F.coalesce(F.col(model_col).cast(text.SPANS), text.none()))))
         found = F.concat("_seen", propagation.propagate(doc, F.col("_seen"), mark))
-    df = text.hold(df, _found=found)
-    df = text.hold(df, _groups=addresses.groups(doc, F.col("_found"), mark))
-    df = text.hold(df, _found=addresses.assemble(doc, F.col("_found"), F.col("_groups")))
-    df = text.hold(df, spans=fusion.fuse(references.drop_public(doc, F.col("_found"))))
-    df = text.hold(df, flags=references.flag(doc, F.col("spans"), mark))
-    return df.drop("_doc", "_mark", "_seen", "_found", "_groups")
+    return steps + [
+        ("_found", found),
+        ("_groups", addresses.groups(doc, F.col("_found"), mark)),
+        ("_found", addresses.assemble(doc, F.col("_found"), F.col("_groups"))),
+        ("spans", fusion.fuse(references.drop_public(doc, F.col("_found")))),
+        ("flags", references.flag(doc, spans, mark)),
+    ]
 
 
 def mask(analysed: DataFrame, text_col: str = "text", names: bool = False, earlier_col: str | None = None) -> DataFrame:
