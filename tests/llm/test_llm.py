@@ -255,6 +255,20 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_fit_does_not_run_away():
+    """Nearly separable labels, on which bare Newton steps diverge: 7,000 clean documents, 850 toxic ones with strong hits."""
+    rng = np.random.default_rng(0)
+    y = np.repeat([0.0, 1.0], [7000, 850])
+    x = np.zeros((len(y), len(toxicity.FEATURES)))
+    x[y == 1, 0] = rng.uniform(5, 7, 850)
+    x[y == 1, 4] = rng.uniform(0.2, 5, 850)
+    x[:40, 0] = rng.uniform(3, 4.5, 40)
+    x[rng.random(len(y)) < 0.2, 2] = 3.4
+    w = toxicity.posterior_mode(np.concatenate([np.ones((len(y), 1)), x], axis=1), y)
+    assert np.abs(w).max() < 50
+    assert np.mean((w[0] + x @ w[1:] >= 0) == y) > 0.99
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

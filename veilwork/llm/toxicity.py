@@ -250,12 +250,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not lexicon.words and not lexicon.stems:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 1 / 3
         return Model(lexicon, np.array([math.log(share / (1 - share))] + [0.0] * len(FEATURES)))
-    a, w = np.concatenate([np.ones((len(x), 1)), x], axis=1), _PRIOR.copy()
-    for _ in range(50):  # Newton steps to the maximum of the posterior
+    return Model(lexicon, posterior_mode(np.concatenate([np.ones((len(x), 1)), x], axis=1), y))
+
+
+def posterior_mode(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights that are likeliest given the prior: Newton steps, each halved until the posterior does not fall."""
+
+    def loss(w: np.ndarray) -> float:
+        f = a @ w
+        return float(np.sum(np.logaddexp(0, f) - y * f) + 0.5 * np.sum(_PRECISION * (w - _PRIOR) ** 2))
+
+    w = _PRIOR.copy()
+    now = loss(w)
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
         grad = a.T @ (q - y) + _PRECISION * (w - _PRIOR)
-        w = w - np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + np.diag(_PRECISION), grad)
-    return Model(lexicon, w)
+        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + np.diag(_PRECISION), grad)
+        size = 1.0
+        while size > 1e-8 and not loss(w - size * step) <= now:
+            size /= 2
+        new = loss(w - size * step)
+        if size <= 1e-8 or now - new < 1e-9:
+            break
+        w, now = w - size * step, new
+    return w
 
 
 def features_column(lexicon: Lexicon, text: str) -> Column:
