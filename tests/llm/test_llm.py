@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilwork.llm import chat, covertree, graph, html, mixing, piece, quality, simhash, tokencount, toxicity, vafile
+from veilwork.llm import chat, covertree, graph, html, jaccard, mixing, piece, quality, simhash, tokencount, toxicity, vafile
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -369,3 +369,34 @@ def test_pipeline(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path))
     ids = [r.doc_id for r in rows.collect()]
     assert len(ids) == kept[4][1] and set(ids) <= set(range(60))
+
+
+def test_near_copies_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON_FROM", 2)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("aeioulnrst", k=5))
+    line, texts = [word() for _ in range(12)], [*EDGE]
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([6, 60, 100, 200]))]
+        for k in range(6):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own + line * (k % 3 == 0)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    par = list(range(len(texts)))
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * len(sets[i] | sets[j]):
+                linked += 1
+                a, b = _root(par, i), _root(par, j)
+                par[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if _root(par, i) == i}
+    assert linked > 30 and len(want) < len(texts) - 10
+    docs = _docs(spark, texts, extra=True)
+    out = corpus_pipeline.distinct(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+    assert corpus_pipeline.distinct(spark, docs.limit(0), "").count() == 0
