@@ -400,3 +400,21 @@ def test_near_copies_by_brute_force(spark, monkeypatch):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
     assert corpus_pipeline.distinct(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixed_rows_have_their_own_copies(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else i // 4, "w " * rng.choice([3, 5, 9]), "en", f"s{i % 3}" if i % 5 else "s9", i) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *rows[:30]], DOCS)
+    plan, out = mixing.plan_mix(docs).collect(), mixing.mixed(docs).collect()
+    assert min(r.copies for r in plan) == 0 < max(r.copies for r in plan)
+    kinds = lambda x: sorted((r.doc_id is None, r.doc_id or 0, len(r.text.split())) for r in x)
+    took = [(r.doc_id is None, r.doc_id or 0, r.size) for r in plan for _ in range(r.copies)]
+    assert len(out) == len(took) and {x[0] for x in kinds(out)} == {False, True}
+    words = {}
+    for r in out:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    sizes = {s: sum(len(x.text.split()) for x in docs.collect() if x.source == s) for s in words}
+    goal = mixing.targets(sizes)
+    assert set(words) == {"s0", "s1", "s2", "s9"} and all(abs(words[s] - goal[s]) <= 3 for s in goal)
+    assert kinds(out) == sorted(took)

@@ -111,13 +111,17 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["skey", "size", "n", "times", "more", "source_size", "target"]]
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken)`` of every row, copies being how often the mix has it."""
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, size, source_size, target, copies, taken)`` of every row, copies being how often the mix has it.
+
+    With ``row_col``, a column that tells rows apart, its values come first as ``row``.
+    """
     spark = docs.sparkSession
     workers_import(spark)
     src, doc = F.col(source_col).cast("string"), F.col(id_col).cast("long")
     skey = F.when(src.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), src))
-    sized = docs.select(doc.alias("doc_id"), skey.alias("skey"), word_count(text_col).alias("size"))
+    own = [F.col(row_col).alias("row")] if row_col else []
+    sized = docs.select(*own, doc.alias("doc_id"), skey.alias("skey"), word_count(text_col).alias("size"))
     sized = durable(sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
 
     by_length = sized.groupBy("skey", "size").agg(F.count("*").alias("n"))
@@ -132,23 +136,24 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ranges = at.groupBy("skey", "size", "part").agg(F.count("*").alias("here"), F.first("more").alias("quota"))
     before = F.sum("here").over(Window.partitionBy("skey", "size").orderBy("part")) - F.col("here")
     ranges = ranges.select("skey", "size", "part", F.least(F.greatest(F.col("quota") - before, F.lit(0)), F.col("here")).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h", "doc_id", *["row"] * len(own)))
     at = at.withColumn("rank", rank).join(ranges, ["skey", "size", "part"])
     at = at.withColumn("copies", F.col("times") + (F.col("rank") <= F.col("quota")).cast("long"))
-    return at.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return at.select(*["row"] * len(own), "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix has them: each row as many times as its plan says, with the columns of ``docs``.
 
-    Rows are matched by id; rows of a repeated id share the sum of their copies evenly, the remainder being left out.
+    Rows are matched by a key of their own, made once, so that ids may be repeated or null.
     """
-    key, n = free_name(docs.columns, "_veil_id"), free_name([*docs.columns, "_veil_id"], "_veil_copies")
-    plan = plan_mix(docs, id_col, text_col, source_col, weights, cap, seed).groupBy("doc_id").agg(F.min("copies").alias(n))
-    plan = plan.where(f"{n} > 0").withColumnRenamed("doc_id", key)
-    out = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col(key)))
-    times = F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(free_name([*docs.columns, key, n], "_veil_i"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, n = free_name(docs.columns, "_veil_row"), free_name(docs.columns, "_veil_copies")
+    keyed = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = plan_mix(keyed, id_col, text_col, source_col, weights, cap, seed, row).where("copies > 0")
+    plan = plan.select(F.col("row").alias(row), F.col("copies").alias(n))
+    times = F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(free_name([*docs.columns, row, n], "_veil_i"))
+    out = keyed.join(plan, row).select(*[F.col(f"`{c}`") for c in docs.columns], times)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
