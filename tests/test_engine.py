@@ -255,3 +255,15 @@ def test_cases_keep_their_codes_across_batches(spark, tmp_path):
     assert got[5] == "[EMAIL_001]"
     # which file comes first is the source's choice; the case's mail keeps its code either way
     assert (got[1], got[2]) in (("[EMAIL_001]", "[EMAIL_002] [EMAIL_001]"), ("[EMAIL_002]", "[EMAIL_001] [EMAIL_002]"))
+
+
+def test_review_keep_reviews_every_case(spark, tmp_path, monkeypatch):
+    from veilwork.plans import catalog
+
+    spark.range(1, 7).select(F.col("id").alias("c_custkey"), F.lit("x").alias("c_name"), F.lit("1").alias("c_phone"), F.lit(0).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    seen, keep = [], review.keep
+    monkeypatch.setattr(review, "keep", lambda *a: seen.append(keep(*a)) or seen[-1])
+    done = catalog.queries()["review_keep"](spark, str(tmp_path))
+    got = {r.doc_id: (r.n_kept, r.n_rejected, len(r.spans)) for r in seen[0].collect()}
+    assert got == {k: (0, 11, 0) if k % 2 else (2, 10, 2) for k in range(1, 7)}
+    assert sorted(r.doc_id for r in done.collect()) == [2, 4, 6]

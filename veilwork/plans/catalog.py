@@ -362,10 +362,13 @@ def review_labels(spark, sf):
 
 @_query("SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS n_kept, CAST(10 AS BIGINT) AS n_rejected, concat('serie [IDENTIFIANT_001] enfin') AS seen FROM customer WHERE c_custkey % 2 = 0")
 def review_keep(spark, sf):
-    """Half of the cases keep the plate and the flagged series; the rest of their spans count as rejected."""
+    """Half of the cases keep the plate and the flagged series; the rest of their spans count as rejected.
+
+    The other half is reviewed, too, but has no decision: it keeps nothing and so produces no row.
+    """
     r = review.to_review(pipeline.analyse(_letters(spark, sf)))
     chosen = r.select("doc_id", F.explode("review").alias("r")).where((F.col("r.span.category") == "PLAQUE") | ~F.col("r.checked"))
-    kept = review.keep(r.where("doc_id % 2 = 0"), chosen.select("doc_id", F.col("r.label").alias("label")))
+    kept = review.keep(r, chosen.where("doc_id % 2 = 0").select("doc_id", F.col("r.label").alias("label")))
     done = review.produce(r.select("doc_id", "text"), kept)
     return done.select("doc_id", "n_kept", "n_rejected", F.regexp_extract("masked_text", "serie .* enfin", 0).alias("seen"))
 
