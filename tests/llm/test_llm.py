@@ -418,3 +418,11 @@ def test_mixed_rows_have_their_own_copies(spark):
     goal = mixing.targets(sizes)
     assert set(words) == {"s0", "s1", "s2", "s9"} and all(abs(words[s] - goal[s]) <= 3 for s in goal)
     assert kinds(out) == sorted(took)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (7, a + " end"), (7, b), (None, b), (None, c), (None, c), (5, " ".join(f"d{i}" for i in range(9))), (1, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = corpus_pipeline.distinct(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in got) == [(0, "c0"), (1, ""), (5, "a0"), (5, "d0"), (7, "b0")]
