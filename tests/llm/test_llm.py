@@ -248,20 +248,60 @@ def test_toxicity(spark):
     truth = {r.doc_id: r.toxic for r in labels.where("doc_id > 0 AND toxic IS NOT NULL").collect()}
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert len(rows) == docs.count() and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
-    plain, typo, quoted = (model.lexicon.features(t) for t in ("you blarghead", "you blarghaed blarghed", 'he said "blarghead"'))
-    assert plain[0] > 0 and typo[2] > 0 and quoted[0] == 0 and quoted[1] > 0
+    score = lambda t: float(model.scores(np.array([model.lexicon.features(t)]))[0])
+    calm = "a plain report of the season and of what it brought to the town " * 4
+    right = score(f"{calm} blarghead {calm} zoofnik grumbolt {calm}")
+    # one letter too many, missing or changed, two swapped, a digit or a sign for a letter
+    for wrong in ("blargheaad zoofnikk grumboolt", "blarghed zoofnk grumblt", "blarghxad zoufnik grumbalt", "blarghaed zofonik gurmbolt", "bl4rgh3ad z0ofn1k grumb0lt", "blargh*ad zoof#ik gr_mbolt", "bl@rghead, z00fnik; grumbol+t."):
+        assert abs(score(f"{calm} {wrong.split()[0]} {calm} {' '.join(wrong.split()[1:])} {calm}") - right) < 0.02 and right > 0.9
+    assert score('The word "blarghead" is rude.') < 0.5 and score(f'He said: "{calm} blarghead {calm}" and left.') < 0.5
+    assert score(f'"{calm}" and then blarghead zoofnik grumbolt "{calm}"') > 0.9  # between two quotations
+    # without the automaton the misspelled terms are missed
+    bare = toxicity.Lexicon(model.lexicon.words, model.lexicon.stems, {}, model.lexicon.innocent)
+    assert bare.features("blarghaed zoofnk bl4rghead") == [0.0] * 4 and model.lexicon.features("blarghaed zoofnk bl4rghead")[0] > 0
+    assert model.weights[1] > 0
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in rows)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_clean_neighbours_are_no_misspellings(spark):
+    """A common clean word an edit from a term is never a hit; a term that many rare ones touch is matched exactly only."""
+    rows = []
+    for i in range(400):
+        y = i % 4 == 0
+        words = ["calm", "words", f"filler{'abcdefgh'[i % 8]}"]
+        if y:
+            words += ["zoofnik", "melong", "zip", "a" * 50]
+        else:
+            words += ["zoofnix"] * (i % 3 == 0) + ["melong"[: i // 12 % 6] + "qxzvk"[i // 72] + "melong"[i // 12 % 6 + 1 :]] * (i % 12 == 1 and i < 360)
+        rows.append((i, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs, labels).lexicon
+    assert {"zoofnik", "melong", "zip", "a" * 50} <= set(lexicon.words)  # short and long words are learned, too
+    assert "zoofnix" in lexicon.innocent and lexicon.hit("zoofnix") is None and lexicon.hit("zoofnyk")
+    assert toxicity.LETTERS not in lexicon.edits["melong"] and lexicon.hit("melong") and lexicon.hit("melonj") is None
+    assert lexicon.hit("z*p", True) and lexicon.hit("zap") is None  # a short term bears a sign or a swap
+    one_class = labels.withColumn("toxic", F.lit(0))
+    assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, one_class)).collect()} == {0}
+    every = labels.withColumn("toxic", F.lit(1))
+    assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, every)).collect()} == {1}
+
+
+def test_quotations():
+    text = 'a "b c" d "open\n“e „f“ g” «h» "i"'
+    assert [text[x:y] for x, y in toxicity.quotations(text)] == ["b c", "e „f“ g", "h", "i"]
+    assert toxicity.quotations('"' * 10_001 + "x") and toxicity.quotations("") == []
+
+
 def test_fit_does_not_run_away():
     """Nearly separable labels, on which bare Newton steps diverge: 7,000 clean documents, 850 toxic ones with strong hits."""
     rng = np.random.default_rng(0)
     y = np.repeat([0.0, 1.0], [7000, 850])
     x = np.zeros((len(y), len(toxicity.FEATURES)))
     x[y == 1, 0] = rng.uniform(5, 7, 850)
-    x[y == 1, 4] = rng.uniform(0.2, 5, 850)
+    x[y == 1, 3] = rng.uniform(0.2, 1.8, 850)
     x[:40, 0] = rng.uniform(3, 4.5, 40)
     x[rng.random(len(y)) < 0.2, 2] = 3.4
     w = toxicity.posterior_mode(np.concatenate([np.ones((len(y), 1)), x], axis=1), y)
@@ -270,12 +310,14 @@ def test_fit_does_not_run_away():
 
 
 def _edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance in which a swap of neighbours is one edit, and no part is edited twice."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_automaton_meets_trie():
