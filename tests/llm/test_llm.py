@@ -274,7 +274,7 @@ def test_clean_neighbours_are_no_misspellings(spark):
         if y:
             words += ["zoofnik", "melong", "zip", "a" * 50]
         else:
-            words += ["zoofnix"] * (i % 3 == 0) + ["melong"[: i // 12 % 6] + "qxzvk"[i // 72] + "melong"[i // 12 % 6 + 1 :]] * (i % 12 == 1 and i < 360)
+            words += ["zoofnix"] * (i % 3 == 0) + ["melong"[: i // 12 % 6] + "qxzvk"[i // 72 % 5] + "melong"[i // 12 % 6 + 1 :]] * (i % 12 == 1 and i < 360)
         rows.append((i, " ".join(words), "en", "s", 0))
     docs = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
