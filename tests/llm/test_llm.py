@@ -120,23 +120,57 @@ def test_cover_tree(spark, cell):
     assert covertree.near_vectors(df.limit(0)).count() == 0
 
 
+def _best(rows, queries, k=5):
+    """Brute force: (query id, rank, id, score) of each query row against all other rows."""
+    fine = [(n, i, [int(np.floor(256 * c)) for c in v]) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all()]
+    out = []
+    for n, i, v in fine:
+        if i % queries == 0:
+            found = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), j, m) for m, j, w in fine if m != n and len(v) == len(w)]
+            out += [(i, r, j, -s) for r, (s, j, _) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(vafile, "CHUNK_ROWS", 40)
     monkeypatch.setattr(vafile, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(vafile, "FIRST_READ", 2)
     rng = np.random.default_rng(4)
     rows = [(i, rng.choice([-0.5, 0.25, 0.3, 0.0, 1.7], 5).tolist()) for i in range(150)]
+    rows += [(i, [0.3, 1.7, 0.0, 0.25, 0.3]) for i in range(400, 460)]  # a group of copies, with queries among them
+    rows += [(50, [1.7] * 5), (2, [0.0] * 5), (2, [1.7] * 5), (7, [0.25] * 3), (100, [0.3] * 3), (8, [-1.0] * 3)]  # repeated ids, other lengths
     bad = [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0]), (300, [float("inf")] * 5), (350, []), (None, [1.0] * 5)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("dim", F.lit(1))
-    got = sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 50 == 0).collect())
-    x = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
-    want = []
-    for q in (0, 50, 100):
-        best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]
-        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    for name in ("dim", "Row", "vid", "ask", "q"):
+        df = df.withColumn(name, F.lit(1))
+    assert sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 50 == 0).collect()) == _best(rows, 50)
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 12)).tolist()) for i in range(60)]
+    rows += [(0, [5e9, 1.0, 0.0, -3.0]), (2, [5e9, 1.0, 0.0, -3.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [3e38, -3e38, 1.0, 2.0]), (70, [3e38, -3e38, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 10 == 0).collect()) == _best(rows, 10)
+
+
+def test_cells_rule_vectors_out(spark):
+    """The approximation is smaller than the vector, its bounds hold, and few exact vectors are read."""
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(3000, 32)) / 6)
+    grid = vafile.Grid(x.min(axis=0), x.max(axis=0), x[:500])
+    low, high = grid.bounds(grid.pack(x))
+    assert (low <= x).all() and (x <= high).all() and (high - low).max() >= 4 and len(grid.pack(x[:1])[0]) == 24
+    for q, (left, up, floors) in zip(x[:5], vafile.scan(x[:5], low, high, 6)):
+        scores = x @ q
+        assert (up >= scores[left]).all() and set(np.argsort(-scores, kind="stable")[:6]) <= set(left.tolist()) and floors.min() <= np.sort(scores)[-6]
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vafile.top_k(df, F.col("vec_id") % 100 == 0, counts=True).collect()
+    assert sorted(tuple(r)[:4] for r in got) == _best([(i, (v / 256).tolist()) for i, v in enumerate(x)], 100)
+    assert np.mean([r.n_left for r in got]) < 300 and np.mean([r.n_read for r in got]) < 150
+
+
 def test_token_counts_follow_edits(spark):
     c, rng = tokencount.counter(), random.Random(3)
     bits = ["a", "b", "'s", "'ll", " ", "  ", "\n", "\t", "1", "é", "日", "!", "don't", "word ", " x"]
