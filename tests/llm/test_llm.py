@@ -70,6 +70,37 @@ def test_simhash(spark, hot):
     assert {r.doc_id: r.component_id for r in rows} == {i: _root(par, i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("per_range", [4, 64, 8192])
+def test_ranges_of_gray_rank_lose_no_link(spark, monkeypatch, per_range):
+    """Components of links found range by range are those of all pairs, whatever the ranges."""
+    monkeypatch.setattr(simhash, "RANGE_WORDS", per_range)
+    monkeypatch.setattr(simhash, "TASK_WORDS", 700)
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 2**63, 300).astype(np.uint64) * 2
+    for _ in range(3):  # chains of near words, one bit to three apart
+        near = words.copy()
+        for _ in range(3):
+            near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+        words = np.unique(np.concatenate([words, near]))
+    par, own = list(range(len(words))), {int(w): int(w) for w in words}
+    for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(words[:, None] ^ words[None]) <= 3, 1)), strict=True):
+        par[_root(par, i)] = _root(par, j)
+    df = spark.createDataFrame([(int(w),) for w in words.view(np.int64)], "fp long")
+    for r in simhash.fingerprint_links(df).collect():
+        a, b = r.a % 2**64, r.b % 2**64
+        assert (a ^ b).bit_count() <= 3
+        own[_root(own, a)] = _root(own, b)
+    assert len({_root(par, i) for i in range(len(words))}) == len({_root(own, int(w)) for w in words})
+    assert simhash.fingerprint_links(df.limit(0)).count() == 0
+
+
+def test_simhash_of_odd_rows(spark):
+    rows = [(None, "a b c d e f", "", "", 0), (5, "a b c d e f", "", "", 0), (None, "z y x", "", "", 0), (7, None, "", "", 0), (7, "  ", "", "", 0)]
+    got = simhash.near_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, 5), (5, 5), (None, None), (7, 7), (7, 7)], key=str)
+    assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_gray_index_on_dense_groups():
     rng = np.random.default_rng(0)
     for n, flips in ((40, 2), (300, 2), (500, 6)):

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,19 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    A session without one gets a folder of its own only where it runs on one machine (tests, local runs): on a cluster no
+    folder of the driver is seen by the executors, so that is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{spark.conf.get('spark.local.dir', None) or '/tmp'}/veilwork-{sc.applicationId}"
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -33,6 +43,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans executed inside send at most ``rows`` rows to Python in a batch; for rows that hold whole texts several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,14 +3,16 @@
 Fingerprints are computed document by document (no shuffle of text). Distinct fingerprints are then linked
 at a Hamming distance of at most ``max_bits``:
 
-* pigeonhole: two 64-bit words that differ in at most 3 bits agree on one of four 16-bit bands, so each band
-  in turn is rotated to the top and words are dealt by (band, band value);
-* within a group words are sorted by Gray rank, so neighbours differ in few bits; blocks of the sorted order are
-  the leaves of an index whose upper nodes hold the masked bit pattern all members share;
-* a pair of nodes is dropped as soon as the differences accumulated on bits that both fix exceed the limit, and
-  a pair whose members already form one component is not opened again.
-
-Each task emits a spanning forest, never all pairs of a group. A group that exceeds ``hot_group`` words is
+* two 64-bit words that differ in at most 3 bits agree on one of four 16-bit bands, so each band in turn is rotated to the
+  top, words are put in Gray order, and ranges of Gray rank (a common prefix, as long as the number of words asks for) are
+  dealt to tasks;
+* within a range neighbours differ in few bits; blocks of the order are the leaves of an index whose upper nodes hold
+  the masked bit pattern that all their members share;
+* a pair of nodes is dropped, with all below it, as soon as the patterns differ in a bit of the band that both fix, or the
+  differences accumulated on other such bits exceed the limit; a pair of leaves whose members already form one
+  component is not opened. Every link comes from this index.
+
+Each task emits a spanning forest, never all pairs of a range. A band value that exceeds ``hot_group`` words is
 dealt again by four 12-bit bands of its other 48 bits, which is exact by the same argument.
 
 Edge cases: null or blank text has fingerprint zero and links like any other; a text under three words is one
@@ -27,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.llm import jaccard
 from veilwork.llm.graph import connected_components
 from veilwork.llm.runtime import durable, table, workers_import
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: Words of one (band, value) group that a task takes before the group is dealt again.
+#: Words of one band value above which they are dealt again, words that a range of Gray rank has on average, and memberships of a task.
 HOT_GROUP = 20_000
+RANGE_WORDS = 8192
+TASK_WORDS = 32_768
 #: Shingle hashes whose bits are counted at once, which bounds the memory of a very long text.
 _AT_ONCE = 1 << 16
 
@@ -79,16 +84,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class _Forest:
-    """Components of the words of one group; the labels of merged parts are rewritten, links are kept."""
+    """Components of the words of one range; the smaller part of a merge is relabelled, links are kept."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
-        x, y = self.label[i], self.label[j]
+        x, y = int(self.label[i]), int(self.label[j])
         if x != y:
-            self.label[self.label == y] = x
+            mine, other = self.members.pop(x, [x]), self.members.pop(y, [y])
+            if len(mine) < len(other):
+                x, mine, other = y, other, mine
+            self.label[other] = x
+            mine.extend(other)
+            self.members[x] = mine
             self.links.append((i, j))
 
 
@@ -105,12 +116,15 @@ def _levels(words: np.ndarray, leaf: int, fan: int) -> list[tuple[np.ndarray, np
         low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
 
 
-def index_links(words: np.ndarray, max_bits: int = MAX_BITS, leaf: int = 32, fan: int = 8) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``words`` (uint64 in Gray order), by dual descent of the index."""
+def index_links(words: np.ndarray, max_bits: int = MAX_BITS, same: int = 0, leaf: int = 32, fan: int = 8) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``words`` (uint64 in Gray order), by dual descent of the index.
+
+    Links between words that differ in the bits ``same`` may be left out; they are some other range's.
+    """
     n, forest = len(words), _Forest(len(words))
     for i in np.nonzero(np.bitwise_count(words[1:] ^ words[:-1]) <= max_bits)[0].tolist():
         forest.join(i, i + 1)  # Gray neighbours first: most of a dense group closes here
-    levels = _levels(words, leaf, fan)
+    levels, same = _levels(words, leaf, fan), np.uint64(same)
     k = len(levels) - 1
     left, right = np.array([0]), np.array([0])
     while k > 0:
@@ -122,81 +136,73 @@ def index_links(words: np.ndarray, max_bits: int = MAX_BITS, leaf: int = 32, fan
         a, b = a.ravel(), b.ravel()
         ok = (a < len(low)) & (b < len(low)) & (a <= b)
         a, b = a[ok], b[ok]
-        near = np.bitwise_count((low[a] ^ low[b]) & mask[a] & mask[b]) <= max_bits
+        apart = (low[a] ^ low[b]) & mask[a] & mask[b]
+        near = (np.bitwise_count(apart) <= max_bits) & (apart & same == 0)
         left, right = a[near], b[near]
     order = np.argsort(right - left, kind="stable")
-    for a, b in zip(left[order].tolist(), right[order].tolist(), strict=True):
-        x, y = slice(a * leaf, min(n, a * leaf + leaf)), slice(b * leaf, min(n, b * leaf + leaf))
-        first = forest.label[x.start]
-        if (forest.label[x] == first).all() and (forest.label[y] == first).all():
-            continue
-        i, j = np.nonzero(np.bitwise_count(words[x, None] ^ words[None, y]) <= max_bits)
-        i, j = i + x.start, j + y.start
-        new = (i < j) & (forest.label[i] != forest.label[j])
-        for p, q in zip(i[new].tolist(), j[new].tolist(), strict=True):
-            forest.join(p, q)
+    left, right, within = left[order], right[order], np.arange(leaf)
+    for at in range(0, len(left), 256):  # pairs of leaves, nearest first, a block of them at once
+        x, y = left[at : at + 256, None] * leaf + within, right[at : at + 256, None] * leaf + within
+        u, v = np.minimum(x, n - 1), np.minimum(y, n - 1)
+        first = forest.label[u[:, :1]]
+        opened = ~((forest.label[u] == first).all(axis=1) & (forest.label[v] == first).all(axis=1))
+        x, y, u, v = x[opened], y[opened], u[opened], v[opened]
+        near = np.bitwise_count(words[u][:, :, None] ^ words[v][:, None, :]) <= max_bits
+        near &= (x[:, :, None] < y[:, None, :]) & (y[:, None, :] < n)
+        p, i, j = np.nonzero(near)
+        i, j = x[p, i], y[p, j]
+        new = forest.label[i] != forest.label[j]
+        for i, j in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            forest.join(i, j)
     return forest.links
 
 
-def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (group, Gray rank); whole groups are taken together."""
-    small = 16
-
-    def close(keys: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-        edges_a, edges_b = [], []
-        cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
-        sizes = np.diff(cut)
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        tiny = np.repeat(sizes <= small, sizes)
-        for s in range(1, small):
-            if len(words) <= s:
-                break
-            ok = (own[s:] == own[:-s]) & tiny[s:]
-            ok &= np.bitwise_count(words[s:] ^ words[:-s]) <= MAX_BITS
-            i = np.flatnonzero(ok)
-            edges_a.append(words[i])
-            edges_b.append(words[i + s])
-        for g in np.flatnonzero(sizes > small).tolist():
-            part = words[cut[g] : cut[g + 1]]
-            links = index_links(part)
+def _range_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(range, band, fp)`` arrive sorted by range and Gray rank; whole ranges are taken together."""
+
+    def close(ranges: np.ndarray, bands: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        ends_a, ends_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        cut = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True])))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            links = index_links(words[i:j], same=0xFFFF << 48 - 16 * int(bands[i])) if j > i + 1 else []
             if links:
                 ij = np.array(links)
-                edges_a.append(part[ij[:, 0]])
-                edges_b.append(part[ij[:, 1]])
-        flat = [np.concatenate(x or [np.zeros(0, np.uint64)]).view(np.int64) for x in (edges_a, edges_b)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["a", "b"])
+                ends_a.append(words[i:j][ij[:, 0]])
+                ends_b.append(words[i:j][ij[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (ends_a, ends_b)], ["a", "b"])
 
-    keys, words = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
     for b in batches:
-        k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
-        keys = np.concatenate([keys, k])
-        words = np.concatenate([words, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
-        last = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-        if len(last) and len(words) >= 1 << 16:
-            at = last[-1] + 1  # the last group may go on in the next batch
-            yield close(keys[:at], words[:at])
-            keys, words = keys[at:], words[at:]
-    if len(words):
-        yield close(keys, words)
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        held = [np.concatenate(x) for x in zip(held, [*new[:2], new[2].view(np.uint64)], strict=True)]
+        last = np.flatnonzero(held[0][1:] != held[0][:-1])
+        if len(last):
+            at = last[-1] + 1  # the last range may go on in the next batch
+            yield close(*(x[:at] for x in held))
+            held = [x[at:] for x in held]
+    if len(held[0]):
+        yield close(*held)
 
 
 def fingerprint_links(words: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     """``(a, b)``: a set of links with the same components as all pairs of distinct ``fp`` within 3 bits."""
     workers_import(words.sparkSession)
+    n = words.count()
+    bits = min(16, max(0, (n // RANGE_WORDS).bit_length()))
     rotated = "(shiftleft(fp, 16 * band) | CASE WHEN band = 0 THEN 0L ELSE shiftrightunsigned(fp, 64 - 16 * band) END)"
     dealt = words.select("fp", F.explode(F.array(*map(F.lit, range(4)))).alias("band"))
     dealt = dealt.withColumn("rot", F.expr(rotated))
     dealt = dealt.withColumn("rank", F.col("rot"))
     for s in (1, 2, 4, 8, 16, 32):  # position in Gray order: each bit becomes the parity of itself and those above
         dealt = dealt.withColumn("rank", F.expr(f"rank ^ shiftrightunsigned(rank, {s})"))
-    dealt = dealt.withColumn("major", F.expr("shiftleft(CAST(band AS LONG), 16) | shiftrightunsigned(rank, 48)"))
-    hot = dealt.groupBy("major").count().where(F.col("count") > hot_group).select(F.col("major").alias("hot"))
-    dealt = dealt.join(hot, F.col("major") == F.col("hot"), "left")
-    again = "transform(sequence(0, 3), i -> shiftleft(CAST(i + 1 AS LONG), 12) | (shiftrightunsigned(rot, 36 - 12 * i) & 4095L))"
-    dealt = dealt.withColumn("minor", F.explode(F.expr(f"CASE WHEN hot IS NULL THEN array(0L) ELSE {again} END")))
-    dealt = dealt.select("major", "minor", "fp", "rank")
-    dealt = dealt.repartition("major", "minor").sortWithinPartitions("major", "minor", "rank")
-    return dealt.mapInArrow(_group_links, "a long, b long")
+    dealt = dealt.withColumn("value", F.expr("shiftleft(CAST(band AS LONG), 16) | shiftrightunsigned(rank, 48)"))
+    hot = dealt.groupBy("value").count().where(F.col("count") > hot_group).select(F.col("value").alias("hot"))
+    dealt = dealt.join(hot, F.col("value") == F.col("hot"), "left")
+    again = "transform(sequence(0, 3), i -> shiftleft(value, 16) | shiftleft(CAST(i + 1 AS LONG), 12) | (shiftrightunsigned(rot, 36 - 12 * i) & 4095L))"
+    prefix = f"shiftleft(CAST(band AS LONG), 16) | shiftrightunsigned(rank, {64 - bits})" if bits else "shiftleft(CAST(band AS LONG), 16)"
+    dealt = dealt.withColumn("range", F.explode(F.expr(f"CASE WHEN hot IS NULL THEN array(-1L - ({prefix})) ELSE {again} END")))
+    dealt = dealt.select("range", "band", "fp", "rank").repartition(max(4, -(-4 * n // TASK_WORDS)), "range")
+    return dealt.sortWithinPartitions("range", "rank").select("range", "band", "fp").mapInArrow(_range_links, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP) -> DataFrame:
@@ -215,12 +221,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each component the document of least id stays.
+    """``docs`` without the near copies: one row stays of each group of texts whose five-word shingles are alike by 0.8 or more.
 
-    Rows whose id is null cannot be told apart and stay.
+    Texts so alike differ in up to a dozen of 64 fingerprint bits, more than any index can look up exactly, so the links of this
+    similarity come from ``jaccard``, which misses none; ``near_groups`` links by fingerprints.
     """
-    extra = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra.withColumnRenamed("doc_id", "_veil_id"), F.col(id_col).cast("long") == F.col("_veil_id"), "left_anti")
+    return jaccard.drop_near_copies(docs, id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
