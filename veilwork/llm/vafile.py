@@ -37,8 +37,8 @@ BLOCK_QUERIES = 1024
 BITS = 6
 #: Vectors (least hashed first) whose spread sets the grids; what lies beyond it falls to the outermost cells.
 SAMPLE = 4096
-#: Exact vectors that are read for each query before the kth exact score is known.
-FIRST_READ = 16
+#: Exact vectors of a chunk that are read for each query before the kth exact score is known.
+FIRST_READ = 8
 _MOST = 2**63 - 1
 
 
@@ -155,9 +155,8 @@ def approximations(entries: DataFrame, grids: dict[int, Grid]) -> DataFrame:
 
 
 def _read(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(q, vid, score, ids)``: exact vectors of the pairs, read by number."""
-    q = entries.select(F.col("vid").alias("q"), F.col("vec").alias("ask_vec"))
-    both = pairs.join(entries.select("vid", "vec", "ids"), "vid").join(q, "q")
+    """``(q, vid, score, ids)``: exact vectors of the pairs ``(q, ask_vec, x)``, read by number."""
+    both = pairs.select("q", "ask_vec", F.col("x.vids").alias("vid")).join(entries.select("vid", "vec", "ids"), "vid")
 
     def run(asks: pa.Array, vecs: pa.Array) -> pa.Array:
         out, sizes = np.empty(len(vecs), object), np.diff(vecs.offsets.to_numpy())
@@ -212,21 +211,24 @@ def top_k(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
     left = durable(asks.groupBy(*key).cogroup(base.groupBy(*key)).applyInArrow(run, "q long, vids array<long>, uppers array<double>, floors array<double>"))
     order = lambda *by: F.row_number().over(Window.partitionBy("q").orderBy(*by))
     bar = left.select("q", F.explode("floors").alias("floor")).withColumn("k", order(F.desc("floor"))).where(F.col("k") == top + 1).select("q", "floor")
-    left = left.join(bar, "q", "left").select("q", "floor", F.explode(F.arrays_zip("vids", "uppers")).alias("x"))
-    left = left.where(F.col("floor").isNull() | (F.col("x.uppers") >= F.col("floor"))).select("q", F.col("x.vids").alias("vid"), F.col("x.uppers").alias("upper"))
-    left = durable(left.withColumn("turn", order(F.desc("upper"), "vid")))
+    # what is left stays in one row for each query and chunk until it is read, so no task gets all of a query's
+    reach = lambda x: F.col("floor").isNull() | (x["uppers"] >= F.col("floor"))
+    left = left.join(bar, "q", "left").select("q", F.filter(F.arrays_zip("vids", "uppers"), reach).alias("found"))
+    q_vecs = entries.where("asked").select(F.col("vid").alias("q"), F.col("vec").alias("ask_vec"))
+    left = durable(left.where(F.size("found") > 0).join(q_vecs, "q"))
 
     # exact vectors in the order of the bounds, until no unread one can reach the kth score
-    first = durable(_read(left.where(F.col("turn") <= FIRST_READ), entries))
+    first = durable(_read(left.select("q", "ask_vec", F.explode(F.slice("found", 1, FIRST_READ)).alias("x")), entries))
     kth = first.withColumn("k", order(F.desc("score"))).where(F.col("k") == top + 1).select("q", F.col("score").alias("kth"))
-    rest = left.where(F.col("turn") > FIRST_READ).join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")) | (F.abs("kth") >= _MOST))
-    read = first.unionAll(_read(rest.select("q", "vid", "upper", "turn"), entries))
+    open_still = lambda x, i: (i >= FIRST_READ) & (F.col("kth").isNull() | (x["uppers"] >= F.col("kth")) | (F.col("kth") >= _MOST) | (F.col("kth") <= -_MOST))
+    rest = left.join(kth, "q", "left").select("q", "ask_vec", F.explode(F.filter("found", open_still)).alias("x"))
+    read = first.unionAll(_read(rest, entries))
     if counts:
         read = durable(read)
     best = read.select("q", "score", F.inline("ids")).withColumn("k", order(F.desc("score"), "id", "row")).where(F.col("k") <= top + 1)
     best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("k", "id", "row", "score"))).alias("best"))
     if counts:
-        best = best.join(left.groupBy("q").agg(F.count("*").alias("n_left")), "q").join(read.groupBy("q").agg(F.count("*").alias("n_read")), "q")
+        best = best.join(left.groupBy("q").agg(F.sum(F.size("found")).alias("n_left")), "q").join(read.groupBy("q").agg(F.count("*").alias("n_read")), "q")
     mine = rows.where("ask").select(F.col("id").alias("query_id"), F.col("row").alias("own"), "vec").join(entries.where("asked").select(F.col("vid").alias("q"), "vec"), "vec")
     more = ["n_left", "n_read"] if counts else []
     out = mine.join(best, "q").select("query_id", F.slice(F.filter("best", lambda b: b["row"] != F.col("own")), 1, top).alias("best"), *more)
