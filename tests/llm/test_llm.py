@@ -235,11 +235,47 @@ def test_budget_is_met():
         take = mixing.fit_budget(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
         assert sum(a * b for a, b in zip(lengths, take, strict=True)) <= budget
+        # no other number of further documents comes closer, held against all of them
+        whole = sum(a * b for a, b in zip(lengths, counts, strict=True))
+        floors = [min(c, c * budget // whole) for c in counts] if budget < whole else counts
+        if 0 < budget - sum(a * b for a, b in zip(lengths, floors, strict=True)) <= 2 * max(lengths):
+            sums = {sum(a * b for a, b in zip(lengths, floors, strict=True))}
+            for a, f, c in zip(lengths, floors, counts, strict=True):
+                sums = {x + k * a for x in sums for k in range(c - f + 1)}
+            assert sum(a * b for a, b in zip(lengths, take, strict=True)) == max(x for x in sums if x <= budget)
     assert mixing.targets({"a": 10, "b": 1, None: 10}) == pytest.approx({"a": 4.5, "b": 3.0, None: 13.5})
 
 
+@pytest.mark.parametrize("held", [1, 200, 1 << 30])
+def test_knapsack_against_all_choices(monkeypatch, held):
+    """The greatest sum within the budget, however few sums are held at once."""
+    monkeypatch.setattr(mixing, "HELD_BITS", held)
+    rng = random.Random(3)
+    for _ in range(150):
+        items = [(f"i{n}", rng.randint(1, 30), rng.randint(0, 5)) for n in range(rng.randint(0, 5))]
+        budget = rng.randint(0, 120)
+        sums = {0}
+        for _, length, most in items:
+            sums = {x + k * length for x in sums for k in range(most + 1)}
+        took = mixing.knapsack(items, budget)
+        assert all(0 <= took.get(i, 0) <= most for i, _, most in items)
+        assert sum(took.get(i, 0) * length for i, length, _ in items) == max(x for x in sums if x <= budget)
+    # wide budgets: a hundred lengths, the gap is closed to the word
+    lengths, counts = list(range(50, 5050, 50)) + [7, 11], [rng.randint(1, 200) for _ in range(102)]
+    for budget in (123_456, 7_654_321):
+        assert sum(a * b for a, b in zip(lengths, mixing.fit_budget(lengths, counts, budget))) == budget
+
+
+def test_mixing_of_odd_rows(spark):
+    """One source, null and repeated ids, a null source with nothing in it."""
+    rows = [(None, "a b c", None, "s", 0), (None, "a b c", None, "s", 0), (3, "a b", None, "s", 0), (3, "a b", None, "s", 0), (4, None, None, None, 0)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 5 and sum(r.taken for r in got) == 10 and all(r.target == 10 for r in got if r["size"]) and {r.target for r in got if not r["size"]} == {0}
+    assert mixing.mixed(spark.createDataFrame(rows, DOCS)).where("source IS NOT NULL").count() == 4
+
+
 def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_OVER", 5)
+    monkeypatch.setattr(mixing, "RANGE_BITS", 2)
     rng = random.Random(6)
     texts = [*EDGE[:8], *("w " * rng.choice([3, 3, 3, 5, 9]) for _ in range(300))]
     docs = _docs(spark, texts, extra=True)

@@ -3,16 +3,17 @@
 Targets come from the sources' totals (a table of one row a source, read by the driver). A source that is to
 give more than it has is repeated whole; what is left of its target is a budget that a subset of its
 documents must meet: its documents are counted by exact length, each length gives its proportional
-share, and a bounded-knapsack dynamic program over the last few words picks how many more documents of
-each length close the gap. Which documents of a length are taken follows a seeded hash.
+share, lengths in order of their remainders give one more until the gap is at most twice the longest document, and a
+bounded-knapsack dynamic program picks how many more documents of each length close that gap as far as any can.
+Which documents of a length are taken follows a seeded hash.
 
-All of a source's state is its count of documents by length; documents themselves are only ever ranked within
+All of a source's state is its count of documents by length; documents themselves are only ever joined and ranked within
 (source, length, hash range), so neither a hot source nor a thousand copies of one text meet in one task.
 
 Edge cases: null text has size 0; a null source is a source of its own, ordered last; documents of size 0 are taken
 as often as their source is repeated whole; repeated rows are documents of their own (which of two equal
-rows is taken makes no difference); extra columns are ignored by ``plan_mix`` and kept by ``mixed``. An empty
-table gives an empty result.
+rows is taken makes no difference); a null id is an id like any other; extra columns are ignored by ``plan_mix`` and kept by
+``mixed``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from veilwork.llm.runtime import durable, free_name, table, workers_import
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
 SEED = 20_240_601
-#: Documents of one (source, length) above which they are dealt by hash range.
-RANGE_OVER = 4096
-#: Bits that the dynamic program may keep (128 MB); a gap that needs more is first narrowed by whole documents.
-DP_BITS = 1 << 30
+#: Bits of the hash by which the documents of one (source, length) are dealt.
+RANGE_BITS = 8
+#: Bits of reachable sums that the dynamic program holds at once (128 MB) before it goes over a part of its steps again.
+HELD_BITS = 1 << 30
+_FAN = 8
 
 
 def word_count(text: str):
@@ -59,46 +61,68 @@ def targets(totals: dict[str | None, int], weights: Sequence[float] = WEIGHTS, c
 def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come as close below ``budget`` as they can.
 
-    Every length first gives the whole part of its proportional share. The bounded knapsack, over lengths in order
-    of their remainders, fills what is left; a gap too wide for it is first narrowed in the same order.
+    Every length first gives the whole part of its proportional share. Lengths in order of their remainders give one more until
+    what is left is at most twice the longest; the bounded knapsack fills that from all documents not yet taken.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not whole:
         return [0] * len(lengths)
     if budget >= whole:
         return list(counts)
-    share = [c * budget / whole if n else 0 for n, c in zip(lengths, counts, strict=True)]
-    take = [min(c, math.floor(s)) for s, c in zip(share, counts, strict=True)]
+    # remainders in units of 1 / whole, so that nothing is rounded
+    take = [c * budget // whole if n else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = [i for i in sorted(range(len(lengths)), key=lambda i: (take[i] - share[i], lengths[i])) if lengths[i]]
-    free = lambda i: min(counts[i] - take[i], left // lengths[i])
-    bits = lambda: left * sum(free(i).bit_length() for i in order)
-    while bits() > DP_BITS:
-        before = left
-        for i in order:
-            if free(i):
-                take[i] += 1
-                left -= lengths[i]
-                if left * len(order) <= DP_BITS:
-                    break
-        if left == before:
-            break
-    mask, reach, steps = (1 << left + 1) - 1, 1, []
+    order = [i for i in sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % whole), lengths[i])) if lengths[i]]
+    longest = max(lengths)
     for i in order:
-        more, chunk = free(i), 1
-        while more and not reach >> left:
-            k = min(chunk, more)
-            steps.append((i, k, reach))
-            reach |= reach << k * lengths[i] & mask
-            more, chunk = more - k, chunk * 2
-    at = reach.bit_length() - 1
-    for i, k, without in reversed(steps):
-        if not without >> at & 1:
-            take[i] += k
-            at -= k * lengths[i]
+        if left <= 2 * longest:
+            break
+        if take[i] < counts[i]:
+            take[i] += 1
+            left -= lengths[i]
+    for i, more in knapsack([(i, lengths[i], min(counts[i] - take[i], left // lengths[i])) for i in order], left).items():
+        take[i] += more
     return take
 
 
+def knapsack(items: Sequence[tuple[int, int, int]], budget: int) -> dict[int, int]:
+    """Copies of each ``(item, length, most)`` whose lengths add up to the greatest sum within ``budget``.
+
+    A sum is a bit. Copies are split into powers of two; what the sums were before each step is needed to go back, and is made
+    again part by part where it would not fit ``HELD_BITS``.
+    """
+    mask, steps, reach = (1 << budget + 1) - 1, [], 1
+    for i, length, most in items:
+        chunk = 1
+        while most > 0 and not reach >> budget:
+            k = min(chunk, most)
+            steps.append((i, k, k * length))
+            reach |= reach << k * length & mask
+            most, chunk = most - k, chunk * 2
+    taken: dict[int, int] = {}
+
+    def back(first: int, stop: int, before: int, at: int) -> int:
+        """Undo the steps ``first`` to ``stop``, whose sums before them are ``before``; the sum that is left of ``at``."""
+        part = 1 if (stop - first) * budget <= HELD_BITS else max(1, -(-(stop - first) // _FAN))
+        marks, reach = [], before
+        for s in range(first, stop):
+            if (s - first) % part == 0:
+                marks.append(reach)
+            reach |= reach << steps[s][2] & mask
+        for m in range(len(marks) - 1, -1, -1):
+            s = first + m * part
+            if part > 1:
+                at = back(s, min(stop, s + part), marks[m], at)
+            elif not marks[m] >> at & 1:
+                i, k, size = steps[s]
+                taken[i] = taken.get(i, 0) + k
+                at -= size
+        return at
+
+    back(0, len(steps), 1, reach.bit_length() - 1)
+    return taken
+
+
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     """One source's rows (skey, size, n, target): whole repeats and how many documents get one more."""
     rows = rows.sort_values("size")
@@ -131,13 +155,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     fitted = by_length.join(goals, "skey").groupBy("skey").applyInPandas(_fit, "skey string, size long, n long, times long, more long, source_size long, target double")
     fitted = durable(fitted)
 
-    part = F.when(F.col("n") > RANGE_OVER, F.shiftrightunsigned("h", 64 - 12)).otherwise(F.lit(0))
-    at = sized.join(fitted, ["skey", "size"]).withColumn("part", part)
-    ranges = at.groupBy("skey", "size", "part").agg(F.count("*").alias("here"), F.first("more").alias("quota"))
+    # a (source, length) is dealt by hash range before anything is joined to its documents
+    sized = sized.withColumn("part", F.shiftrightunsigned("h", 64 - RANGE_BITS))
+    ranges = sized.groupBy("skey", "size", "part").agg(F.count("*").alias("here")).join(fitted, ["skey", "size"])
     before = F.sum("here").over(Window.partitionBy("skey", "size").orderBy("part")) - F.col("here")
-    ranges = ranges.select("skey", "size", "part", F.least(F.greatest(F.col("quota") - before, F.lit(0)), F.col("here")).alias("quota"))
+    quota = F.least(F.greatest(F.col("more") - before, F.lit(0)), F.col("here")).alias("quota")
+    ranges = ranges.select("skey", "size", "part", quota, "times", "source_size", "target")
     rank = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h", "doc_id", *["row"] * len(own)))
-    at = at.withColumn("rank", rank).join(ranges, ["skey", "size", "part"])
+    at = sized.withColumn("rank", rank).join(ranges, ["skey", "size", "part"])
     at = at.withColumn("copies", F.col("times") + (F.col("rank") <= F.col("quota")).cast("long"))
     return at.select(*["row"] * len(own), "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
