@@ -1,8 +1,10 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-On unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). Vectors of one label are split into
-cells of bounded size around a few centres; a pair of cells is opened only if the distance of its centres is within the sum
-of the covering radii and the threshold. In a task each cell becomes a cover tree: nested levels of radius halved from one to
+On unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). Vectors of one label go to the nearest of a
+few centres, the uppermost level, and its cells are split into parts of bounded size. Pairs are pruned vector by vector before
+any row moves: a vector meets another centre's cell only if that is within its covering radius and the threshold, and the
+plane that parts the two cells is within the threshold (two vectors on its two sides are further apart than either is
+from it). In a task each side becomes a cover tree: nested levels of radius halved from one to
 the next, each node with its true covering radius. Descending two trees together, a pair of nodes is dropped
 when its centres are further apart than both radii and the threshold, and taken whole when they are so near that
 all their members must link; what is left meets an exact test in double precision.
@@ -19,7 +21,6 @@ extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,10 +180,16 @@ def link(x: np.ndarray, links: Links, first: np.ndarray, second: np.ndarray | No
                     todo.append((m, n))
 
 
+def unit(vecs: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors; scaled first, so that neither large nor small components leave the range of doubles."""
+    x = np.stack(vecs).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _centres(rows: pd.DataFrame) -> pd.DataFrame:
     """Farthest-first centres of one label's sample: each new one is a net point of the next finer level."""
-    x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rows["vec"].to_numpy())
     chosen, k = [0], int(rows["k"].iloc[0])
     far = 2 - 2 * (x @ x[0])
     while len(chosen) < min(k, len(x)) and far.max() > _SLACK:
@@ -198,21 +205,50 @@ def _assign(points: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
     def run(frames):
         for f in frames:
             at, far = np.zeros(len(f), np.int32), np.full(len(f), 2.0)
-            for grp, rows in f.groupby("grp").indices.items():
-                c = sent.value.get(grp)
-                if c is not None:
-                    x = np.stack(f["vec"].to_numpy()[rows]).astype(np.float64)
-                    cos = x @ c.T / np.linalg.norm(x, axis=1, keepdims=True)
-                    at[rows] = cos.argmax(axis=1)
-                    far[rows] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1))) + _SLACK
+            for rows, c in _by_group(f, sent.value):
+                cos = unit(f["vec"].to_numpy()[rows]) @ c.T
+                at[rows] = cos.argmax(axis=1)
+                far[rows] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1))) + _SLACK
             yield f.assign(centre=at, far=far)
 
     return points.mapInPandas(run, "rep long, n long, grp string, vec array<double>, centre int, far double")
 
 
+def _by_group(f: pd.DataFrame, centres: dict[str, np.ndarray]):
+    """The rows of each group that has centres, a few hundred at once, which bounds the matrix of their distances."""
+    for grp, rows in f.groupby("grp").indices.items():
+        c = centres.get(grp)
+        for i in range(0, len(rows) if c is not None else 0, 256):
+            yield rows[i : i + 256], c
+
+
+def _meets(placed: DataFrame, centres: dict[str, np.ndarray], radii: dict[str, np.ndarray], threshold: float) -> DataFrame:
+    """Each point with ``meets``, the centres of its group in whose cells a vector within ``threshold`` can be; narrow."""
+    sent = placed.sparkSession.sparkContext.broadcast((centres, radii))
+
+    def run(frames):
+        for f in frames:
+            out, (cs, rs) = np.empty(len(f), object), sent.value
+            at, groups = f["centre"].to_numpy(), f["grp"].to_numpy()
+            for i, c in enumerate(at.tolist()):
+                out[i] = [c]
+            for rows, c in _by_group(f, cs):
+                cos, own = unit(f["vec"].to_numpy()[rows]) @ c.T, at[rows]
+                span = np.sqrt(np.maximum(0.0, 2 - 2 * (c[own] @ c.T)))
+                plane = (cos[np.arange(len(rows)), own][:, None] - cos) / np.maximum(span, 1e-9)
+                near = (np.sqrt(np.maximum(0.0, 2 - 2 * cos)) <= rs[groups[rows[0]]] + threshold + _SLACK) & (plane <= threshold + _SLACK)
+                near[np.arange(len(rows)), own] = True
+                for i, mine in zip(rows.tolist(), near, strict=True):
+                    out[i] = np.flatnonzero(mine).astype(np.int32)
+            yield f[["rep", "n", "grp", "vec", "centre"]].assign(meets=out)
+
+    return placed.mapInPandas(run, "rep long, n long, grp string, vec array<double>, centre int, meets array<int>")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cell: int = CELL) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per vector."""
-    workers_import(vectors.sparkSession)
+    spark = vectors.sparkSession
+    workers_import(spark)
     vec, label = F.col(vec_col).cast("array<double>"), F.col(label_col).cast("string")
     finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
@@ -223,12 +259,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     # centres of the groups that fill more than one cell
     large = points.groupBy("grp").agg(F.count("*").alias("k")).where(F.col("k") > cell)
-    want = large.withColumn("k", F.ceil(F.col("k") / cell).cast("int"))
+    want = large.select("grp", F.col("k").alias("size"), F.ceil(F.col("k") / cell).cast("int").alias("k"))
     total = want.agg(F.sum("k")).first()[0] or 0
     if total > CENTRES:
         want = want.withColumn("k", (F.col("k") * (CENTRES / total)).cast("int")).where("k > 1")
-    first = Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep")
-    sample = points.join(want, "grp").withColumn("i", F.row_number().over(first)).where(F.col("i") <= SAMPLE)
+    # the sample is cut by hash before it is ranked, so that no task gets all vectors of a label
+    want = F.broadcast(want)  # at most one row a centre
+    low = F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1 << 20)) < F.lit(2.0 * SAMPLE * (1 << 20)) / F.col("size")
+    first = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit("sample"), "rep"), "rep")
+    sample = points.join(want, "grp").where(low).withColumn("i", F.row_number().over(first)).where(F.col("i") <= SAMPLE)
     chosen = sample.select("grp", "k", "vec").groupBy("grp").applyInPandas(_centres, "grp string, centre array<double>").collect()
     centres: dict[str, list] = {}
     for r in chosen:
@@ -236,33 +275,30 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     placed = _assign(points, {g: np.array(c) for g, c in centres.items()}) if centres else points.select("*", F.lit(0).alias("centre"), F.lit(2.0).alias("far"))
     placed = durable(placed)
 
-    # cells: a centre's vectors in blocks of bounded size
-    blocks = placed.groupBy("grp", "centre").agg(F.count("*").alias("size"), F.max("far").alias("radius"))
-    blocks = blocks.withColumn("parts", F.ceil(F.col("size") / cell).cast("int"))
-    spots = [(g, i, [float(u) for u in c]) for g, cs in centres.items() for i, c in enumerate(cs)]
-    if spots:
-        at = vectors.sparkSession.createDataFrame(spots, "grp string, centre int, at array<double>")
-        blocks = blocks.join(at, ["grp", "centre"], "left")
+    # cells: a centre's vectors, in parts of bounded size
+    blocks = durable(placed.groupBy("grp", "centre").agg(F.count("*").alias("size"), F.max("far").alias("radius")))
+    if centres:
+        named = spark.createDataFrame([(g,) for g in centres], "grp string")
+        radii = {g: np.zeros(len(c)) for g, c in centres.items()}
+        for r in blocks.join(F.broadcast(named), "grp", "left_semi").collect():  # at most one row a centre
+            radii[r["grp"]][r["centre"]] = r["radius"]
+        meets = _meets(placed, {g: np.array(c) for g, c in centres.items()}, radii, math.sqrt(2 - 2 * cosine))
     else:
-        blocks = blocks.withColumn("at", F.lit(None).cast("array<double>"))
-    cells = durable(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    a, b = (cells.select(*[F.col(c).alias(f"{c}{s}") for c in ("grp", "centre", "part", "radius", "at")]) for s in "12")
-    dot = F.aggregate(F.zip_with("at1", "at2", lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
-    reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("radius1") + F.col("radius2") + math.sqrt(2 - 2 * cosine) + _SLACK
-    ordered = F.struct("centre1", "part1") <= F.struct("centre2", "part2")
-    pairs = a.join(b, (F.col("grp1") == F.col("grp2")) & ordered).where(F.coalesce(reach, F.lit(True)))
-    pairs = pairs.withColumn("pair", F.concat_ws("/", "grp1", "centre1", "part1", "centre2", "part2"))
-    twin = (F.col("centre1") == F.col("centre2")) & (F.col("part1") == F.col("part2"))
-    sides = [pairs.where(w).select("pair", F.col("grp1").alias("g"), F.col(f"centre{s}").alias("c"), F.col(f"part{s}").alias("p"), F.lit(s).alias("side"), twin.alias("twin")) for s, w in ((1, F.lit(True)), (2, ~twin))]
-    sides = reduce(DataFrame.unionByName, sides)
-    parts = blocks.select(F.col("grp").alias("bg"), F.col("centre").alias("bc"), "parts")
-    tasks = placed.join(parts, (F.col("grp") == F.col("bg")) & (F.col("centre") == F.col("bc")))
-    tasks = tasks.withColumn("part", F.pmod(F.xxhash64("rep", "vec"), "parts").cast("int"))
-    tasks = tasks.join(sides, (F.col("grp") == F.col("g")) & (F.col("centre") == F.col("c")) & (F.col("part") == F.col("p")))
+        meets = placed.select("rep", "n", "grp", "vec", "centre", F.array("centre").alias("meets"))
+    split = blocks.select(F.col("grp").alias("g"), F.col("centre").alias("c"), F.ceil(F.col("size") / cell).cast("int").alias("parts")).where("parts > 1")
+    if split.count() <= CENTRES:
+        split = F.broadcast(split)
+    tasks = meets.join(split, (F.col("grp") == F.col("g")) & (F.col("centre") == F.col("c")), "left")
+    tasks = tasks.withColumn("part", F.pmod(F.xxhash64("rep", "vec"), F.coalesce("parts", F.lit(1))).cast("int")).drop("g", "c", "parts")
+    tasks = tasks.withColumn("with", F.explode("meets")).drop("meets")
+    tasks = tasks.join(split, (F.col("grp") == F.col("g")) & (F.col("with") == F.col("c")), "left")
+    tasks = tasks.withColumn("its", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    mine, other = F.struct(F.col("centre").alias("c"), F.col("part").alias("p")), F.struct(F.col("with").alias("c"), F.col("its").alias("p"))
+    one, two = F.least(mine, other), F.greatest(mine, other)
+    tasks = tasks.withColumns({"pair": F.concat_ws("/", "grp", one["c"], one["p"], two["c"], two["p"]), "side": F.when(mine <= other, 1).otherwise(2), "twin": mine == other})
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(f["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
+        x = unit(f["vec"].to_numpy())
         links, side = Links(f["n"].to_numpy()), f["side"].to_numpy()
         one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         if f["twin"].iloc[0]:
