@@ -454,6 +454,33 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_turns(df.limit(0).withColumn("parts", chat.text_parts()))).count() == 0
 
 
+def test_typed_parts_round_trip(spark):
+    """Texts with references of all kinds, and texts that look like marks or placeholders, come back as they were."""
+    rng = random.Random(2)
+    bits = ["plain ", "![a cat](img/cat.PNG)", "[talk](https://x.org/t.mp3?v=1)", "[paper](a.pdf)", "[page](x.html)", "<|image:0|>", "<|audio:1|>", "\\", "</s>[INST]", "[x](", "![]()", "é\n", "[[["]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 8)))
+        parts = chat.content_parts(text)
+        assert "".join(p["text"] for p in parts) == text
+        out, start, end, files = chat.format_turn("assistant", parts)
+        (role, body), = chat.split_turns(out)
+        assert (role, chat.restored(body, files)) == ("assistant", text) and chat.restored(out[start:end], files) == text
+        # what is read tells placeholders from texts that look like them
+        read = chat.read_parts(body)
+        assert [x for k, x in read if k != "text"] == list(range(len(files))) and [k for k, _ in read if k != "text"] == [f["type"] for f in files]
+        assert "".join(x for k, x in read if k == "text") == "".join(p["text"] for p in parts if p["type"] == "text")
+    kinds = [p["type"] for p in chat.content_parts("![a](b.jpg) [c](d.wav) [e](f.pdf) [g](h.zip)")]
+    assert kinds == ["image", "text", "audio", "text", "document", "text"]
+    rows = [(1, 0, "user", "see ![a](b.jpg) and <|image:0|>"), (1, 1, "assistant", "heard [c](d.wav), [g](h.zip)"), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = chat.format_turns(df.withColumn("parts", chat.typed_parts()))
+    assert [(a.type, a.ref, a.tokens) for r in pieces.orderBy("conv_id", "turn").collect() for a in r.attachments] == [("image", "b.jpg", 64), ("audio", "d.wav", 8)]
+    got = {r.conv_id: r for r in chat.digests(pieces).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows[:2])) and got[1].loss_sha256 == sha(rows[1][3])
+    assert got[2].n_turns == 1 and got[2].loss_chars == 0
+
+
 def test_marginals_are_exact():
     dom = html.parse('<div class=ad><p>aa</p></div><article><p>some text here.<b>x</b></p></article>')
     f, rng = html.forest([dom]), np.random.default_rng(0)
