@@ -506,6 +506,47 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def _main_text(page):
+    return html.texts_of([page], html.default_model())[0]
+
+
+#: Paragraphs of the pages below.
+_RIVER = [
+    "The river rose by two metres in the second week of March. Nobody in the village had seen it so high before, and the old bridge was closed for three days.",
+    "When the water fell again, the meadows were covered with sand &amp; stones. It took the farmers a month to clear them, with help from the next valley.",
+    "The council now plans a wall along the lower road. Some of the owners are against it, as it would take the view of the river from their houses.",
+]
+_BREAD = [
+    "Good bread needs time more than anything else. I let the dough rest for a whole day, which gives it taste and makes it easy to shape.",
+    "Flour matters too, and so does the heat of the oven. Mine reaches 250 degrees, and 3 < 4 hours of waiting are enough before the first loaf goes in.",
+    "A stone holds the heat well. If you have none, turn a tray over and let it grow hot for half an hour before you bake.",
+]
+#: Pages written by hand, unlike those of the trainer: (html, text).
+PAGES = [
+    (
+        "<html><body><table><tr><td class=leftnav><a href=/1>Home</a><a href=/2>News</a><a href=/3>About us</a></td><td id=maintext><h1>The river in spring</h1>"
+        + "".join(f"<p>{p}</p>" for p in _RIVER)
+        + "</td></tr></table><div class=copyright>Copyright 2021 River Gazette. All rights reserved.</div></body></html>",
+        "The river in spring " + " ".join(_RIVER).replace("&amp;", "&"),
+    ),
+    (
+        "<!doctype html><title>x</title><div class='site-header'><div class=logo>My Log</div><div class='search-form'><form><input><button>Go</button></form></div></div>"
+        "<div class=post-content><h2>On bread</h2><noscript>Please enable scripts.</noscript>"
+        + "".join(f"<p>{p}" for p in _BREAD)
+        + "</div><div class='related-posts'><a href=a>On cheese</a> <a href=b>On wine</a></div>"
+        "<div id=comments><div class=comment>Nice post!</div><div class=comment>I tried it and it failed.</div></div>",
+        "On bread " + " ".join(_BREAD),
+    ),
+    ("<article><p>One sentence stands here, and another one follows it. Then the page ends <", "One sentence stands here, and another one follows it. Then the page ends <"),
+    ("<article><div><noscript>Enable scripts</div>" + "".join(f"<p>{p}</p>" for p in _BREAD) + "</article>", " ".join(_BREAD)),
+]
+
+
+@pytest.mark.parametrize("page, want", PAGES)
+def test_html_on_pages_written_by_hand(page, want):
+    assert _main_text(page) == want
+
+
 def test_html_on_unseen_layouts():
     pages = html.labelled_pages(60, seed=99)
     f = html.forest([html.parse(p) for p in pages])

@@ -5,14 +5,15 @@ id, and the text below it; a potential on each parent-child edge depends on the
 (normalised over the child's state, so that a child without evidence sends none). Sum-product messages pass
 from the leaves to the root and back, level by level over all pages of a batch at once, and give each element's
 exact marginal. Weights are trained by the exact gradient of the conditional likelihood on labelled pages, which
-``labelled_pages`` writes from a seed in many layouts (the corpus has no labelled pages); training takes about
-a second on the driver.
+``labelled_pages`` writes from a seed in many layouts (the corpus has no labelled pages); training takes a
+few seconds on the driver.
 
 Text is kept where the marginal of its nearest element exceeds one half. Scripts, styles, comments and head matter
 are never text. White space inside a block becomes one space; blocks are joined in page order by one space.
 
-Edge cases: null or blank html gives empty text; markup that breaks off inside a tag loses that tag only; unclosed and stray tags
-are repaired as they come; repeated rows are extracted each; a page of any length or depth is handled whole; extra
+Edge cases: null or blank html gives empty text; markup that breaks off inside a tag loses that tag only, and a ``<`` that begins
+none is text; unclosed and stray tags are repaired as they come (an open ``noscript``, ``template``, ``object``, ``svg`` or ``math``
+ends with its parent; an open script or frame goes on to the end, as in a browser); repeated rows are extracted each; a page of any length or depth is handled whole; extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -34,15 +35,17 @@ from veilwork.llm.runtime import table, workers_import
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([a-zA-Z_:@-][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_CUT = re.compile(r"<(?:[a-zA-Z!?/][^>]*)?\Z")
+_BEGINS = re.compile(r"<[a-zA-Z!?/]")
 # Fixed values of the HTML standard: elements without content, of raw text, that end an open p, and that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math xmp noembed noframes object".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 ENDS_P = BLOCK - frozenset("br body html td th tr tbody thead tfoot li dd dt legend figcaption summary".split())
 #: An opening tag closes an open element of these names, up to the scope's own element.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-NEVER = frozenset("head script style title noscript iframe template svg math select button textarea object".split())
+NEVER = frozenset("head script style title noscript iframe template svg math select button textarea object xmp noembed noframes".split())
+
+_OUTSIDE_BODY = frozenset("html head body frameset title meta link base script style noscript template".split())
 
 TAGS = "html body div section main article header footer nav aside form label button select ul ol li dl dt dd table tbody tr td th p h1 h2 h3 h4 h5 h6 blockquote pre code figure figcaption a span b i em strong small u time address details summary".split()
 CUES = {
@@ -87,6 +90,10 @@ def parse(page: str) -> Dom:
     block = 0
 
     def opened(name: str, attrs: str) -> None:
+        if not stack and name != "html":  # what a page leaves out is there all the same
+            opened("html", "")
+        if len(stack) == 1 and dom.tag[stack[0]] == "html" and name not in _OUTSIDE_BODY:
+            opened("body", "")
         dom.tag.append(name)
         dom.parent.append(stack[-1] if stack else -1)
         dom.attrs.append(attrs)
@@ -100,10 +107,10 @@ def parse(page: str) -> Dom:
     def text(piece: str) -> None:
         if piece:
             if not stack:
-                opened("html", "")
+                opened("body", "")
             dom.texts.append((stack[-1], block, entities.unescape(piece)))
 
-    cut = _CUT.search(page)
+    cut = _BEGINS.search(page, page.rfind(">") + 1)
     if cut and "<!--" not in page[cut.start() :]:
         page = page[: cut.start()]
     at, end = 0, len(page)
@@ -183,7 +190,7 @@ def forest(doms: list[Dom]) -> Forest:
         n += len(d.tag)
     parent, kind, x = np.full(n, -1), np.zeros(n, np.int64), np.zeros((n, N_FEATURES))
     own, link, words, stops, in_p = (np.zeros(n) for _ in range(5))
-    depth = np.zeros(n, np.int64)
+    depth, never = np.zeros(n, np.int64), np.zeros(n, bool)  # what is never text says nothing of its parent
     for d, s in zip(doms, start, strict=True):
         in_a = [False] * len(d.tag)
         p_of = [False] * len(d.tag)
@@ -191,6 +198,7 @@ def forest(doms: list[Dom]) -> Forest:
             p, g = d.parent[i], s + i
             if p >= 0:
                 parent[g], depth[g] = s + p, depth[s + p] + 1
+            never[g] = t in NEVER or p >= 0 and never[s + p]
             in_a[i] = t == "a" or p >= 0 and in_a[p]
             p_of[i] = t == "p" or p >= 0 and p_of[p]
             x[g, _TAG_AT.get(t, len(TAGS))] = 1
@@ -202,6 +210,8 @@ def forest(doms: list[Dom]) -> Forest:
                         cued = True
             kind[g] = KINDS["cued"] if cued else KINDS["landmark"] if t in _LANDMARK else KINDS["block"] if t in BLOCK else KINDS["inline"]
         for i, _, text in d.texts:
+            if never[s + i]:
+                continue
             k = len(text)
             own[s + i] += k
             words[s + i] += text.count(" ") + 1 if not text.isspace() else 0
@@ -222,10 +232,13 @@ def forest(doms: list[Dom]) -> Forest:
     x[:, at + 4] = p / np.maximum(text, 1)
     x[:, at + 5] = text < 1
     x[:, at + 6] = 1
-    # siblings of one tag share their evidence, or many short paragraphs would outvote the element around them
-    group = (parent + 1) * (len(TAGS) + 1) + np.array([_TAG_AT.get(t, len(TAGS)) for d in doms for t in d.tag], np.int64)
+    # siblings of one tag and class share their evidence, or many short paragraphs would outvote the element around them
+    names: dict[tuple[str, str], int] = {}
+    name = np.array([names.setdefault((t, c), len(names)) for d in doms for t, c in zip(d.tag, d.cues, strict=True)], np.int64)
+    group = (parent + 1) * (len(names) + 1) + name
     _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
     x /= count[inverse][:, None]
+    x[never] = 0
     return Forest(doms, x, parent, kind, levels, start)
 
 
@@ -327,7 +340,8 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
         }[where]()
 
     def content() -> str:
-        out = [f"<h1>{words(int(rng.integers(2, 9)))}</h1>"] if chance(0.85) else []
+        top = pick("h1", "h1", "h2")
+        out = [f"<{top}>{words(int(rng.integers(2, 9)))}</{top}>"] if chance(0.85) else []
         if chance(0.15):  # many paragraphs of a few words: length of each alone must not decide
             out += [f"<p>{words(int(rng.integers(1, 4)))}{pick('.', '', '!')}</p>" for _ in range(int(rng.integers(15, 90)))]
         for _ in range(int(rng.integers(1, 9))):
@@ -348,6 +362,8 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
                 out.append(f"<pre><code>{words(6)}</code></pre>")
             else:
                 out.append(f"<div><p>{sentences(2)}</p></div>")
+            if chance(0.03):
+                out.append(f"<noscript data-y=0>{sentences(1)}</noscript>")
             if chance(0.06):
                 out.append(junk(pick("ad", "share", "form", "side", "notice")))
         return "".join(out)
