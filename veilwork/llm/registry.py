@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from veilwork.llm import chat, covertree, html, mixing, piece, quality, simhash, tokencount, toxicity, vafile
 
 
@@ -22,10 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.op8_chat,
         "op9_html": html.op9_html,
         "op10_toxicity": toxicity.op10_toxicity,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_covertree": covertree.OP2_SQL, "op3_topk": vafile.OP3_SQL, "op8_chat": chat.OP8_SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_covertree": covertree.OP2_SQL, "op3_topk": vafile.OP3_SQL, "op8_chat": chat.OP8_SQL}

@@ -60,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of a store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(taken: list[str], stem: str) -> str:
     """A column name that clashes with none of ``taken`` (compared without case)."""
     low = {c.lower() for c in taken}
