@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -229,6 +230,15 @@ def test_public_numbers_from_a_model(spark):
     assert [x.text for x in df.select(references.drop_public(F.col("t"), F.col("s")).alias("k")).first().k] == ["3142"]
 
 
+def test_public_numbers_whatever_the_blanks(spark):
+    gap = " " * 45
+    docs = [(f"Voir la loi{gap}n° 20161321 ici", []), ("Selon l'arrêté 12345 ici", []), (f"article{gap}L.{gap}12345", []), (f"dossier {gap}12345, vu la loi", ["12345"])]
+    for doc, want in docs:
+        found = [(m.start(), m.end(), "IDENTIFIANT", m[0], "regle", 1.0) for m in re.finditer(r"\d+", doc)]
+        df = spark.createDataFrame([(doc, found)], f"t string, s {text.SPANS}")
+        assert [x.text for x in df.select(references.drop_public(F.col("t"), F.col("s")).alias("k")).first().k] == want
+
+
 def test_streams(spark, tmp_path):
     from veilwork.streaming import stream
 

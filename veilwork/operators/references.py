@@ -62,16 +62,21 @@ def flag(doc: Column, kept: Column, mark: Column | None = None) -> Column:
     return F.when(hint, free).otherwise(text.none())
 
 
-_JUST_BEFORE = f"(?U)(?<!\\w)(?iu:{values.PUBLIC_TEXTS})[ ]+(?:[nN][°º][ ]*)?(?:[A-Z]\\.[ ]*)?\\z"
+_CITED = f"(?U)(?<!\\w)(?iu:{values.PUBLIC_TEXTS})[ ]+"
+#: What may stand between the name of a public text and its number.
+_CITED_FORMS = (_CITED, f"{_CITED}[nN][°º][ ]*", f"{_CITED}(?:[nN][°º][ ]*)?[A-Z]\\.[ ]*")
+_CITES = f"(?iu)(?:{values.PUBLIC_TEXTS})[ ]"
 _OWN = f"(?U)\\A(?iu:{values.PUBLIC_TEXTS})(?!\\w)"
 
 
 def drop_public(doc: Column, spans: Column) -> Column:
     """Without the identifiers that are numbers of laws, decrees, orders or articles."""
 
+    ends = [F.transform(text.find(doc, form), lambda f: f["end"]) for form in _CITED_FORMS]
+    cited = F.when(F.coalesce(doc.rlike(_CITES), F.lit(False)), F.concat(*ends)).otherwise(F.array().cast("array<int>"))
+
     def public(s: Column) -> Column:
-        before = F.substring(doc, F.greatest(s["start"] - 40, F.lit(0)) + 1, F.least(s["start"], F.lit(40)))
         own = (s["source"] == values.MODEL) & s["text"].rlike(_OWN)
-        return (s["category"] == "IDENTIFIANT") & (before.rlike(_JUST_BEFORE) | own)
+        return (s["category"] == "IDENTIFIANT") & (F.array_contains(cited, s["start"]) | own)
 
     return F.filter(spans, lambda s: ~F.coalesce(public(s), F.lit(False)))

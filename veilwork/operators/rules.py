@@ -53,6 +53,16 @@ RULES = (
 )
 
 
+def has_digit(doc: Column) -> Column:
+    return F.coalesce(doc.rlike("\\p{Nd}"), F.lit(False))
+
+
 def scan(doc: Column, mark: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Spans of every rule, in the order of the rules; overlaps between rules are left to fusion."""
-    return F.concat(*[r.scan(doc, mark) for r in rules])
+    """Spans of every rule, in the order of the rules; overlaps between rules are left to fusion.
+
+    Of the supplied rules only the first finds anything in a text without digits: one test skips all others.
+    """
+    found = [r.scan(doc, mark) for r in rules]
+    if rules is not RULES:
+        return F.concat(*found)
+    return F.concat(found[0], F.when(has_digit(doc), F.concat(*found[1:])).otherwise(text.none()))

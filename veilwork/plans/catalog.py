@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import keys, text, values
 from veilwork.operators import codes, evaluation, fusion, model, references, reinjection, review, rules
 from veilwork.plans import pipeline
+from veilwork.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", spread=name != "lineitem")
 
 
 # -- check keys -----------------------------------------------------------------------------------------------------
