@@ -222,6 +222,72 @@ def test_tables_and_cases(spark, tmp_path):
     assert [(r.section, r.phrase, r.expected) for r in sheet] == [("Un", "Dossier 5512 ici", ["5512"]), ("Un", "Rien\nla", [])]
 
 
+def test_command_line_keeps_documents_apart(spark, tmp_path, capsys):
+    """Equal names in two folders, and endings that differ, are documents of their own; each reply gets its own values back."""
+    from veilwork import cli
+
+    docs = {"a/x.txt": "De un@example.org", "b/x.txt": "De deux@example.org", "b/x.md": "De trois@example.org et x.y+z é.txt", "b/blank.txt": " \n", "c d/é+%.txt": "De quatre@example.org"}
+    for name, doc in docs.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(doc)
+    (tmp_path / "in" / "bad.rtf").write_text("x")
+    at = lambda name: str(tmp_path / name)
+    assert cli.main(["mask", at("in"), at("out"), at("tables")]) == 0
+    said = capsys.readouterr().out
+    assert "EMAIL : 4" in said and "example.org" not in said
+    masked = {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert masked["a/x.txt.pseudonymise.txt"] == "De [EMAIL_001]" and len(masked) == 4 and not any("example" in m for m in masked.values())
+    for name in masked:
+        (tmp_path / "replies" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "replies" / name).write_text("Vu [EMAIL_001].")
+    (tmp_path / "replies" / "a" / "broken.txt").write_bytes(b"\xff")
+    (tmp_path / "replies" / "lone.txt").write_text("Vu [EMAIL_001].")
+    # a later run over other texts must not be mixed in, and may be chosen or not
+    run = next((tmp_path / "tables").glob("run=*")).name[4:]
+    (tmp_path / "more" / "a").mkdir(parents=True)
+    (tmp_path / "more" / "a" / "x.txt").write_text("De autre@example.org")
+    assert cli.main(["mask", at("more"), at("out2"), at("tables"), "--run", "zzz"]) == 0
+    capsys.readouterr()
+    assert cli.main(["restore", at("replies"), at("tables"), at("back"), "--run", run]) == 0
+    assert "4 remplaces" in (said := capsys.readouterr().out) and "1 illisibles, 1 sans table" in said
+    back = {p.relative_to(tmp_path / "back").as_posix(): p.read_text() for p in (tmp_path / "back").rglob("*.txt")}
+    assert back == {f"{n}.reinjecte.txt": f"Vu {d.split()[1]}." for n, d in docs.items() if d.strip()}
+    assert cli.main(["restore", at("replies"), at("tables"), at("back2")]) == 0  # the latest run
+    assert (tmp_path / "back2" / "a" / "x.txt.reinjecte.txt").read_text() == "Vu autre@example.org."
+    twice = spark.createDataFrame([("k", "a@example.org"), ("k", "b@example.org")], "doc_id string, text string")
+    files.write_tables(pipeline.pseudonymise(twice), at("tables"), run="zzzz")
+    with pytest.raises(Exception, match="several code tables"):
+        files.read_tables(spark, at("tables"), key_type="string").collect()
+
+
+def test_command_line_evaluates(spark, tmp_path, capsys):
+    from veilwork import cli
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("Ecrire à zoe.test@example.org, 06 39 98 01 02. Zoé Fictif habite 3 rue Exemple.")
+    truth = {"documents": {"a.txt": {"directs": {"EMAIL": ["zoe.test@example.org"], "PERSONNE": ["Zoé Fictif"], "ADRESSE": ["habite 3 rue Exemple"]}, "indirects": []}}}
+    (tmp_path / "truth.json").write_text(json.dumps(truth))
+    at = lambda name: str(tmp_path / name)
+    assert cli.main(["evaluate", at("t"), at("none.json")]) == 2
+    assert cli.main(["evaluate", at("t"), at("truth.json"), "--false-alarms"]) == 1  # rules find no names
+    said = capsys.readouterr().out
+    assert "adresses partielles : 1" in said and "fausse alerte TELEPHONE : 1" in said and "noms de personnes : 0/1, non atteint" in said
+    assert cli.main(["evaluate", at("t"), at("truth.json"), "--model", "tests.names:load"]) == 0
+    assert "noms de personnes : 1/1, atteint" in capsys.readouterr().out
+
+
+def test_model_is_part_of_the_analysis(spark):
+    """Predictor, acceptance and analysis together, for documents of any kind of key, with and without findings."""
+    from tests import names
+
+    docs = spark.createDataFrame([("a", "Zoé Fictif écrit. Mme Fictif part."), ("b", "rien"), ("c", None)], "doc_id string, text string")
+    done = pipeline.pseudonymise(pipeline.with_model(docs, names.load), model_col="model")
+    got = {r.doc_id: r.masked_text for r in done.collect()}
+    assert got == {"a": "[PERSONNE_001] écrit. Mme [PERSONNE_001] part.", "b": "rien", "c": ""}
+    by = pipeline.by_category(pipeline.analyse(spark.createDataFrame([(1, "192.0.2.1 a@example.org 192.0.2.2")], "doc_id long, text string"))).collect()
+    assert [(r.place, r.category, [s.text for s in r.spans]) for r in by] == [(0, "IP", ["192.0.2.1", "192.0.2.2"]), (1, "EMAIL", ["a@example.org"])]
+
+
 def test_public_numbers_from_a_model(spark):
     doc = "Voir la loi n° 2016-1321 et l'article l. 3142."
     spans = [(a := doc.index(t), a + len(t), "IDENTIFIANT", t, "modele", 0.9) for t in ("loi n° 2016-1321", "3142")]

@@ -54,6 +54,11 @@ def score_expected(docs: DataFrame, expected_col: str = "expected", spans_col: s
     return df.withColumn("reason", reason)
 
 
+def partial_addresses(scored: DataFrame) -> DataFrame:
+    """The expected addresses that are neither missed nor covered whole by one span, with the reason."""
+    return scored.where((F.col("category") == "ADRESSE") & (F.col("coverage") > 0) & ~F.col("whole")).select("doc_id", "start", "end", "coverage", "reason")
+
+
 def score_predicted(docs: DataFrame, expected_col: str = "expected", spans_col: str = "spans") -> DataFrame:
     """One row a predicted span and whether it is right, that is, overlaps any expected span."""
     df = docs.select("doc_id", F.col(expected_col).alias("_e"), F.explode(spans_col).alias("p"))

@@ -6,13 +6,14 @@ fusion, then flags for bare series that nothing covers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions import text
-from veilwork.operators import addresses, codes, fusion, propagation, references, rules
+from veilwork.functions import text, values
+from veilwork.operators import addresses, codes, fusion, model, propagation, references, rules
 
 
 def analyse(docs: DataFrame, text_col: str = "text", model_col: str | None = None) -> DataFrame:
@@ -58,10 +59,22 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", model_col: str | None
     return mask(analyse(docs, text_col, model_col), text_col, model_col is not None, earlier_col)
 
 
+def with_model(docs: DataFrame, load: Callable[[], model.Predictor], text_col: str = "text", labels: dict[str, str] | None = None, threshold: float = values.MODEL_THRESHOLD, out: str = "model") -> DataFrame:
+    """``docs`` (one row a ``doc_id``) with the accepted spans of a model as column ``out``, for ``analyse(model_col=out)``.
+
+    ``labels`` are the model's labels and their categories; the optional one is added by ``values.LABELS | values.OPTIONAL_LABELS``.
+    """
+    found = model.accept(docs, model.predict(docs, load, text_col, labels, threshold), text_col, labels, threshold)
+    found = found.select(F.col("doc_id").alias("_veil_id"), F.col("spans").alias(out))
+    return docs.join(found, F.col("doc_id") == F.col("_veil_id"), "left").drop("_veil_id").withColumn(out, F.coalesce(out, text.none()))
+
+
 def by_category(analysed: DataFrame) -> DataFrame:
-    """``(doc_id, category, spans)``: a document's spans grouped by category, in order of first appearance."""
-    one = analysed.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.category").alias("category"), "s")
-    return one.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    """``(doc_id, place, category, spans)``: a document's spans by category, ``place`` being the order of first appearance; narrow."""
+    spans = F.col("spans")
+    kinds = F.array_distinct(F.transform(spans, lambda s: s["category"]))
+    one = lambda c: F.struct(c.alias("category"), F.filter(spans, lambda s: s["category"] == c).alias("spans"))
+    return analysed.select("doc_id", F.posexplode(F.transform(kinds, one)).alias("place", "c")).select("doc_id", "place", "c.category", "c.spans")
 
 
 def counts(analysed: DataFrame) -> DataFrame:

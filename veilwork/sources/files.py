@@ -2,17 +2,21 @@
 
 Documents are read with Spark's binary source, so any store that Spark reads will do; text and Markdown are decoded by
 expressions, DOCX and PDF by an Arrow function over the bytes of a file. What cannot be read is a row with its reason,
-never a failed job. Sinks write tables; one file per document is written by the executors, in the documents' own tasks.
+never a failed job. A document's key is its path below the folder that was read, so equal names in two folders are two documents.
+Masked texts go to a table, or to one file per document, which the executors write in the documents' own tasks.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+from collections.abc import Iterator
+from datetime import UTC, datetime
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.functions import values
@@ -98,34 +102,95 @@ def rejects(files: DataFrame) -> DataFrame:
     return files.where("error IS NOT NULL").select("path", F.col("error").alias("reason"))
 
 
-def output_name(path, suffix: str):
+def key_below(spark: SparkSession, path: Column, root: str) -> Column:
+    """The path of a file below ``root``, a folder or the file itself; what is not below it keeps its whole path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    plain = F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    name = F.regexp_extract(plain, "([^/]*)$", 1)
+    return F.when(F.startswith(plain, F.lit(at)), F.substring(plain, F.lit(len(at) + 1), F.length(plain))).when(plain == at.rstrip("/"), name).otherwise(plain)
+
+
+def output_name(path: Column, suffix: str) -> Column:
     """``name.ext`` becomes ``name.ext<suffix>``."""
     return F.concat(F.regexp_extract(path, "([^/]*)$", 1), F.lit(suffix))
 
 
+MASKED_SUFFIX, RESTORED_SUFFIX = ".pseudonymise.txt", ".reinjecte.txt"
+
+
 def write_masked(masked: DataFrame, path: str) -> None:
     """Masked texts as a table (Parquet), without any original value."""
-    masked.select("path", output_name(F.col("path"), ".pseudonymise.txt").alias("name"), "masked_text").write.mode("errorifexists").parquet(path)
+    masked.select("path", output_name(F.col("path"), MASKED_SUFFIX).alias("name"), "masked_text").write.mode("errorifexists").parquet(path)
+
+
+def write_files(texts: DataFrame, folder: str, key_col: str, text_col: str, suffix: str) -> None:
+    """One UTF-8 file ``folder/<key><suffix>`` per row, written by the executors; a task that runs again writes the same files.
+
+    ``folder`` is a path or address that all executors share; keys are paths below it and must differ.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        for key, text in rows:
+            store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            at = f"{at.rstrip('/')}/{key.lstrip('/')}{suffix}"
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            half = f"{at}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(half) as f:
+                f.write((text or "").encode())
+            store.move(half, at)
+
+    texts.select(key_col, text_col).foreachPartition(run)
 
 
-def write_tables(masked: DataFrame, path: str, key: str = "doc_id", run: str | None = None) -> None:
-    """Code tables as JSON lines ``(key, table)`` under ``run=``; they hold the original values, so protect the path."""
+def new_run() -> str:
+    """The name of a run: its time, and what tells it from others of the same second."""
+    return f"{datetime.now(UTC):%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:6]}"
+
+
+def protect(spark: SparkSession, path: str) -> None:
+    """Leave a folder to its owner alone, where the store knows permissions."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).setPermission(at, fs.permission.FsPermission("700"))
+
+
+def write_tables(masked: DataFrame, path: str, key: str = "doc_id", run: str | None = None) -> str:
+    """Code tables as JSON lines ``(key, table)`` under ``run=``, whose name is returned; they hold the original values.
+
+    The folder is left to its owner alone, where the store knows permissions.
+    """
+    run = run or new_run()
     created = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.expr("current_timezone()")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     out = masked.select(key, codes.to_json(F.col("code_table"), created).alias("table"))
-    out.withColumn("run", F.lit(run) if run else F.date_format(F.current_timestamp(), "yyyyMMdd-HHmmss")).write.mode("append").partitionBy("run").json(path)
+    out.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(path)
+    protect(masked.sparkSession, path)
+    return run
+
 
+def read_tables(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "long", run: str | None = None) -> DataFrame:
+    """``(key, code_table)`` of one run's stored tables, the latest by name unless ``run`` is given.
 
-def read_tables(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "long") -> DataFrame:
-    """``(key, code_table)`` of stored tables."""
+    A key with several tables in a run is an error: which of them a reply belongs to cannot be told.
+    """
     rows = spark.read.schema(f"{key} {key_type}, table string, run string").json(path)
-    return rows.select(key, codes.from_json(F.col("table")).alias("code_table"))
+    run = run or rows.agg(F.max("run")).first()[0]
+    one = rows.where(F.col("run") == run).groupBy(key).agg(F.count("*").alias("n"), F.first("table").alias("table"))
+    several = F.raise_error(F.concat(F.lit("several code tables of one run for "), F.col(key).cast("string"))).cast("string")
+    return one.select(key, codes.from_json(F.when(F.col("n") == 1, F.col("table")).otherwise(several)).alias("code_table"))
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, reply, name)`` of reply files, strictly UTF-8; ``name`` is that of the restored text."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.concat(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "\\.[^.]*$", ""), F.lit(".reinjecte.txt"))
-    return files.select("path", F.validate_utf8(F.col("content").cast("string")).alias("reply"), name.alias("name"))
+    """``(path, reply, name, error)`` of reply files; ``name`` is that of the restored text.
+
+    Replies are strictly UTF-8: one that is not has no text but a reason.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.concat(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "\\.[^.]*$", ""), F.lit(RESTORED_SUFFIX))
+    reply = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.select("path", reply.alias("reply"), name.alias("name"), F.when(reply.isNull(), "pas de l'UTF-8").alias("error"))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
