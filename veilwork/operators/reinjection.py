@@ -46,3 +46,17 @@ def reinject(replies: DataFrame, reply_col: str = "reply", table_col: str = "cod
     df = df.drop("_hits", "_known", "_reply", "_table")
     of = lambda s: F.filter("anomalies", lambda a: a["severity"] == s)
     return df.withColumn("to_check", of(values.TO_CHECK)).withColumn("unmentioned", of(values.INFORMATION)).withColumn("no_problem", F.size("to_check") == 0)
+
+
+def choose_table(file_table: Column, session_table: Column) -> Column:
+    """The table of a file goes before that of the session; null if there is neither."""
+    return F.coalesce(file_table.cast(TABLE), session_table.cast(TABLE))
+
+
+def summary() -> Column:
+    """What a person is told of a reply that ``reinject`` restored: counts, what to check, and codes that are not mentioned."""
+    count, check, lone = F.col("n_replaced"), F.col("to_check"), F.col("unmentioned")
+    point = lambda a: F.concat(F.lit("\n  - "), a["found"], F.lit(" : "), a["reason"], F.coalesce(F.concat(F.lit(" -> "), a["resolved"]), F.lit("")))
+    points = F.when(F.size(check) == 0, F.lit("\nrien a verifier")).otherwise(F.concat(F.format_string("\n%d a verifier :", F.size(check)), F.array_join(F.transform(check, point), "")))
+    codes = F.when(F.size(lone) == 0, F.lit("")).otherwise(F.concat(F.format_string("\n%d non mentionnes : ", F.size(lone)), F.array_join(F.transform(lone, lambda a: a["found"]), ", ")))
+    return F.concat(F.format_string("%d remplaces", count), points, codes)

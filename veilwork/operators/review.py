@@ -32,6 +32,14 @@ def label(s: Column) -> Column:
     return F.format_string("%s · « %s » — %s (position %d)", s["category"], s["text"], origin(s), s["start"])
 
 
+def inputs(docs: DataFrame, file_text_col: str, file_error_col: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text`` to analyse and ``refused``: a file goes before a text, one that cannot be read or a blank says why it is refused."""
+    has_file = F.col(file_text_col).isNotNull() | F.col(file_error_col).isNotNull()
+    chosen = F.coalesce(F.when(has_file, F.col(file_text_col)).otherwise(F.col(text_col)), F.lit(""))
+    refused = F.coalesce(F.col(file_error_col), F.when(~chosen.rlike("(?U)\\S"), F.lit("vide")))
+    return docs.withColumns({text_col: F.when(refused.isNull(), chosen), "refused": refused})
+
+
 def to_review(analysed: DataFrame) -> DataFrame:
     """``analysed`` with ``review``: spans and flags in order, each with its label and whether it is checked at first."""
     shown = F.transform(text.by_start(F.concat("spans", "flags")), lambda s: F.struct(s.alias("span"), label(s).alias("label"), (s["source"] != values.FLAG).alias("checked")))

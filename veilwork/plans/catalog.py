@@ -460,3 +460,121 @@ def evaluation_unannotated(spark, sf):
     df = _letters(spark, sf).withColumn("k", F.col("doc_id"))
     directs = F.create_map(F.lit("EMAIL"), F.array(F.expr(_PARTS["mail"])), F.lit("TELEPHONE"), F.array(F.expr(_PARTS["phone"])), F.lit("X"), F.array(F.expr(_PARTS["ref"]), F.expr(_PARTS["bare"]), F.lit("2026")))
     return evaluation.unannotated(text.hold(df, expected=evaluation.expected(F.col("text"), directs)))
+
+
+# -- scans of keyed values, and rules at their edges ----------------------------------------------------------------
+_KEYED_IBAN = "concat('ZZ', lpad(concat(98 - (k * 104729 * 1000000 + 353500) % 97 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END), 2, '0'), lpad(concat(k * 104729), 20, '0'))"
+_NIR_NUMBER = "(((200 + k % 100) * 100 + 5) * 100000000 + CASE WHEN k % 3 = 0 THEN 19 WHEN k % 3 = 1 THEN 18 ELSE 99 END * 1000000 + k % 1000000)"
+_NIR_KEY = f"(97 - {_NIR_NUMBER} % 97)"
+_KEYED_NIR = f"concat({_NIR}, ' ', lpad(concat(CASE WHEN k % 5 = 0 THEN {_NIR_KEY} % 97 + 1 ELSE {_NIR_KEY} END), 2, '0'))"
+_ABROAD = "concat('+44', repeat(' 7', CAST({n} AS INT)))"
+_KEYED = f"concat('Compte ', {_KEYED_IBAN}, '; assurance ', {_KEYED_NIR}, '; entreprise ', {_SIREN}, '; tel ', {_ABROAD.format(n='k % 18')}, ' fin')"
+
+
+@_query(
+    f"""WITH o AS (SELECT k, {_SIREN} AS s FROM (SELECT o_orderkey AS k FROM orders))
+    SELECT k AS doc_id, 'IBAN' AS category, {_KEYED_IBAN} AS value FROM o WHERE k % 3 <> 0
+    UNION ALL SELECT k, 'NIR', {_KEYED_NIR} FROM o WHERE k % 5 <> 0
+    UNION ALL SELECT k, 'SIREN', s FROM o WHERE {_LUHN_OF.format(d="s")}
+    UNION ALL SELECT k, 'TELEPHONE', {_ABROAD.format(n="least(k % 18, 14)")} FROM o WHERE k % 18 >= 5"""
+)
+def scan_keyed_orders(spark, sf):
+    """IBAN, NIR, SIREN and numbers abroad within a text: right and wrong keys, too few digits, and more than a number has."""
+    docs = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("doc_id"), F.expr(_KEYED).alias("text"))
+    found = text.hold(docs, s=rules.scan(F.col("text"), text.mark_for(F.col("text")))).select("doc_id", F.explode("s").alias("s"))
+    return found.select("doc_id", F.col("s.category").alias("category"), F.col("s.text").alias("value"))
+
+
+@_query("SELECT s_suppkey AS doc_id, 'ADRESSE' AS category, concat(s_suppkey % 200 + 1, ' rue Exemple, lot ', s_suppkey % 9) AS text, 'regle' AS source FROM supplier WHERE s_suppkey % 2 = 1")
+def address_anchors(spark, sf):
+    """A model's address goes where no street or postcode anchors it, and joins the block where one does."""
+    k = F.col("k")
+    docs = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    docs = docs.select("k", F.expr("concat('Lieu : ', CASE WHEN k % 2 = 1 THEN concat(k % 200 + 1, ' rue Exemple, ') ELSE '' END, 'lot ', k % 9, ' - fin')").alias("text"))
+    at = F.instr("text", F.lit("lot")) - 1
+    docs = docs.select(k.alias("doc_id"), "text", F.array(text.span(F.col("text"), at, at + 5, "ADRESSE", values.MODEL, F.lit(0.9))).cast(text.SPANS).alias("model"))
+    done = pipeline.analyse(docs, model_col="model").select("doc_id", F.inline("spans"))
+    return done.select("doc_id", "category", "text", "source")
+
+
+@_query("SELECT o_orderkey AS doc_id, concat(1000 + o_orderkey) AS value FROM orders WHERE o_orderkey % 4 = 3")
+def references_ordinals(spark, sf):
+    """An ordinal behind a trigger is no reference, whatever its case."""
+    docs = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    docs = docs.select(F.col("k").alias("doc_id"), F.expr("concat('Dossier ', 1000 + k, CASE k % 4 WHEN 0 THEN 'e' WHEN 1 THEN 'ème' WHEN 2 THEN 'ER' ELSE '' END, ' cité')").alias("text"))
+    return text.hold(docs, s=references.announced(F.col("text"))).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.text").alias("value"))
+
+
+@_query("SELECT c_custkey AS doc_id, optional, CASE WHEN optional THEN 'DATE_SENSIBLE' END AS category FROM customer, (VALUES (true), (false)) v(optional)")
+def model_optional(spark, sf):
+    """The optional label is accepted only where it is asked for."""
+    docs = _table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("Vu le 3 mai.").alias("text"))
+    found = docs.select("doc_id", F.lit(6).alias("start"), F.lit(11).alias("end"), F.lit("sensitive_date").alias("label"), F.lit("3 mai").alias("text"), F.lit(0.9).alias("score"))
+    parts = []
+    for optional, labels in ((True, values.LABELS | values.OPTIONAL_LABELS), (False, None)):
+        got = model.accept(docs, found, labels=labels).select(F.col("doc_id").alias("i"), F.get("spans", F.lit(0))["category"].alias("category"))
+        parts.append(docs.join(got, F.col("doc_id") == F.col("i"), "left").select("doc_id", F.lit(optional).alias("optional"), "category"))
+    return parts[0].unionByName(parts[1])
+
+
+@_query("SELECT doc_id, place, category, CAST(n AS INTEGER) AS n FROM (SELECT c_custkey AS doc_id FROM customer), (VALUES (0, 'IDENTIFIANT', 2), (1, 'ADRESSE', 1), (2, 'EMAIL', 2), (3, 'TELEPHONE', 1), (4, 'DATE_NAISSANCE', 1), (5, 'IP', 1), (6, 'PLAQUE', 1), (7, 'SIRET', 1), (8, 'CARTE_BANCAIRE', 1)) v(place, category, n)")
+def spans_by_category(spark, sf):
+    return pipeline.by_category(pipeline.analyse(_letters(spark, sf))).select("doc_id", "place", "category", F.size("spans").alias("n"))
+
+
+_LIKE = [("'Zoé Fictif'", "'FICTIF  ZOE'", 1), ("'Alexandre Martinau'", "'Alexandre Martineau'", 1), ("'Alexandre Martinau'", "'Alexandre Dupuis'", 2), ("'Dr Z. Fictif'", "'Zoé Fictif'", 1), ("'Mme'", "'Mme'", 1)]
+_LIKE_CASES = " UNION ALL ".join(f"SELECT {i} AS n, {a} AS a, {b} AS b, CAST({c} AS INTEGER) AS codes" for i, (a, b, c) in enumerate(_LIKE))
+
+
+@_query(f"SELECT c_custkey * 10 + n AS doc_id, codes AS n_codes, concat('[PERSONNE_001] et [PERSONNE_00', codes, ']') AS masked_text FROM customer, ({_LIKE_CASES})")
+def names_alike(spark, sf):
+    """Accents, case, order and initials do not part names, nor does a slip of the pen; another name does, and titles alone are no name."""
+    docs = _table(spark, sf, "customer").join(F.broadcast(spark.sql(_LIKE_CASES)))  # five cases
+    docs = docs.select((F.col("c_custkey") * 10 + F.col("n")).alias("doc_id"), "a", "b", F.concat("a", F.lit(" et "), "b").alias("text"))
+    doc, a, b = F.col("text"), F.length("a"), F.length("b")
+    spans = F.array(text.span(doc, F.lit(0), a, "PERSONNE", values.MODEL), text.span(doc, a + 4, a + 4 + b, "PERSONNE", values.MODEL))
+    done = codes.assign(docs.withColumn("spans", spans.cast(text.SPANS)))
+    return done.select("doc_id", F.size("code_table").alias("n_codes"), codes.rewrite(doc, F.col("spans"), F.col("codes")).alias("masked_text"))
+
+
+@_query(
+    """SELECT c_custkey AS doc_id, category, CAST(n AS BIGINT) AS n, reason FROM customer,
+    (VALUES ('EMAIL', 2, ''), ('TELEPHONE', 1, ''), ('LIEU', 1, ''), ('PERSONNE', 1, 'masquee a 0%')) v(category, n, reason)"""
+)
+def evaluation_reasons(spark, sf):
+    scored = evaluation.score_expected(_scored(spark, sf))
+    return scored.groupBy("doc_id", "category", "reason").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT s_suppkey AS doc_id, round((length(concat(s_suppkey % 200 + 1)) + 12.0) / (length(concat(s_suppkey % 200 + 1)) + 19.0), 6)::DOUBLE AS coverage FROM supplier")
+def evaluation_partial(spark, sf):
+    """Addresses that are masked in part are listed; a whole one, and one that is missed, are not."""
+    docs = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    docs = docs.select(F.col("k").alias("doc_id"), F.expr("concat('Il vit au ', k % 200 + 1, ' rue Exemple; et ', k % 200 + 1, ' avenue Autre; ou au fond')").alias("text"), "k")
+    directs = F.create_map(F.lit("ADRESSE"), F.array(F.expr("concat('vit au ', k % 200 + 1, ' rue Exemple')"), F.expr("concat(k % 200 + 1, ' avenue Autre')"), F.lit("au fond")))
+    done = pipeline.analyse(text.hold(docs, expected=evaluation.expected(F.col("text"), directs)))
+    return evaluation.partial_addresses(evaluation.score_expected(done)).select("doc_id", F.round("coverage", 6).alias("coverage"))
+
+
+@_query("SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'du fichier' WHEN 3 THEN 'du champ' END AS text, CASE c_custkey % 4 WHEN 1 THEN 'illisible' WHEN 2 THEN 'vide' END AS refused FROM customer")
+def review_inputs(spark, sf):
+    k = F.col("doc_id") % 4
+    docs = _table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"))
+    docs = docs.select("doc_id", F.lit("du champ").alias("text"), F.when(k == 0, "du fichier").when(k == 2, " \n").alias("file"), F.when(k == 1, "illisible").alias("error"))
+    return review.inputs(docs, "file", "error").select("doc_id", "text", "refused")
+
+
+@_query(
+    f"""WITH {_L} SELECT k AS doc_id, concat('2 remplaces', chr(10), '2 a verifier :', chr(10), '  - [email 1] : {values.REPAIRED_CODE} -> [EMAIL_001]', chr(10), '  - [PERSONNE_', k % 7 + 1, '] : {values.UNKNOWN_CODE}',
+    chr(10), '2 non mentionnes : [EMAIL_001], [IP_009]') AS summary, concat('Vu ', {_PARTS["mail"]}, ', [PERSONNE_', k % 7 + 1, '] et ', CASE WHEN k % 2 = 0 THEN 'du fichier' ELSE 'de la session' END) AS restored FROM l"""
+)
+def reinject_summary(spark, sf):
+    """The table of a file goes before that of the session, and a person is told what happened."""
+    k = F.col("doc_id")
+    entry = lambda code, category, value: F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), F.array(value).alias("values"))
+    mail = F.expr(_PARTS["mail"].replace("k", "doc_id"))
+    table = lambda where: F.array(entry("[EMAIL_001]", "EMAIL", mail), entry("[LIEU_001]", "LIEU", F.lit(where)), entry("[IP_009]", "IP", F.lit("192.0.2.1")))
+    docs = _letters(spark, sf).select("doc_id", F.when(k % 2 == 0, table("du fichier")).alias("file"), table("de la session").alias("session"))
+    docs = docs.withColumn("reply", F.concat(F.lit("Vu [email 1], [PERSONNE_"), (k % 7 + 1).cast("string"), F.lit("] et [LIEU_001]")))
+    done = reinjection.reinject(docs.withColumn("code_table", reinjection.choose_table(F.col("file"), F.col("session"))))
+    return done.select("doc_id", reinjection.summary().alias("summary"), "restored")
