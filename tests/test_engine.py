@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.functions import keys, text, values
+from veilwork.functions import keys, patterns, text, values
 from veilwork.operators import codes, evaluation, fusion, model, references, reinjection, review
 from veilwork.plans import pipeline
 from veilwork.sources import files
@@ -33,6 +33,39 @@ def test_keys(spark):
     assert [r for r in df.withColumn("got", got).collect() if r.valid != r.got] == []
 
 
+#: Each pattern alone: what it takes whole, and what it must not touch.
+PATTERNS = [
+    ("EMAIL", ["a.b+c@x-y.example.org"], ["a@b", "@x.org"]),
+    ("IP", ["192.0.2.1"], ["1.2.3", "1.2.3.4.5"]),
+    ("IBAN", ["ZZ43 0000 0000 0000 0000 0000 123", "ZZ430000"], ["Z430000", "AZZ430000"]),
+    ("CARD", ["4242 4242-4242 4242"], ["4242  4242 4242 4242", "42424242424242424"]),
+    ("NIR", ["2 85 05 2A 999 456 76", "285.05.99.999.456.76"], ["3 85 05 99 999 456 76", "2 85 05 99 999 456 7"]),
+    ("SIREN", ["120 027 016", "120027016"], ["120  027 016", "1200270161"]),
+    ("SIRET", ["120 027 016 00563"], ["120 027 016 0056"]),
+    ("PHONE", ["06 39.98-01 02", "0639980102"], ["00 39 98 01 02", "+0639980102"]),
+    ("PHONE_ABROAD", ["+44 20 7946 0000"], ["+44 123", "44 20 7946 0000"]),
+    ("PLATE", ["AA-123-BB"], ["AA-1234-BB", "AAA-123-BB", "AA-123-BBB"]),
+    ("DATE", ["1er mai 1980", "3 août 2001", "03/05/80", "3-5-1980"], ["32 foo 1980"]),
+    ("POSTCODE", ["00100 Nullepart Cedex 9", "F-00100 Saint-Exemple", "00100 La Ville"], ["00100 ville", "001000 Ville"]),
+    ("STREET_PARTICLE", ["de la ", "du ", "d'", "l’"], ["vers "]),
+    ("STREET_NUMBER", ["12 bis", "7B", "1234"], ["bis"]),
+    ("TYPED", ["AB12-2026-0001", "A/B/C"], ["AB-CD", "xA-B-C"]),
+    ("BARE", ["55281", "123456789012"], ["5528", "1234567890123", "55281,5", "A-55281"]),
+    ("DAMAGED_CODE", ["[EMAIL_001]", "[email 1]", "[Lieu-12]"], ["[1]", "[EMAIL]", "[EMAIL_]"]),
+]
+
+
+@pytest.mark.parametrize("name, whole, never", PATTERNS)
+def test_patterns(name, whole, never):
+    pattern = re.compile(getattr(patterns, name).replace("(?iu:", "(?i:"))
+    for value in whole:
+        m = pattern.search(f" {value} ")
+        assert m and m[0].strip() == value.strip(), value
+    for value in never:
+        m = pattern.search(f" {value} ")
+        assert not m or m[0] != value, value
+
+
 CASES = [
     # text, spans as (category, text), flags
     ("", [], []),

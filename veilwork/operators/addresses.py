@@ -10,14 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwork.functions import text, values
-
-_NAME = f"{values.STREET_PARTICLE}?{values.STREET_WORD}(?:[ ]+{values.STREET_PARTICLE}?{values.STREET_WORD})*"
-STREET = f"(?U)(?<![\\w\\-])(?:{values.STREET_NUMBER}[ ]*,?[ ]*)?(?iu:{values.STREETS})(?![\\w\\-])[ ]+{_NAME}"
-COMPLEMENT = (
-    f"(?U)(?<!\\w)(?:\\d{{1,2}}(?:e|er|[èe]me)[ ]+(?iu:[ée]tage)|(?iu:{values.COMPLEMENT_WORDS})[ ]+\\w{{1,4}}"
-    f"|(?:{values.COMPLEMENT_BOXES})[ ]?\\d{{1,6}})(?!\\w)"
-)
+from veilwork.functions import patterns, text, values
+
 _GROUP = "struct<start:int,end:int,anchored:boolean,postcodes:boolean>"
 
 
@@ -30,14 +24,14 @@ def groups(doc: Column, spans: Column, mark: Column | None = None) -> Column:
     mine = F.filter(spans, lambda s: s["category"].isin("CODE_POSTAL_VILLE", "ADRESSE"))
     post = lambda s: s["category"] == "CODE_POSTAL_VILLE"
     own = F.transform(mine, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), post(s).alias("anchored"), post(s).alias("postcode")))
-    elements = F.array_sort(F.concat(_elements(text.find(doc, STREET, mark=mark), True), _elements(text.find(doc, COMPLEMENT, mark=mark), False), own))
+    elements = F.array_sort(F.concat(_elements(text.find(doc, patterns.STREET, mark=mark), True), _elements(text.find(doc, patterns.COMPLEMENT, mark=mark), False), own))
     none = F.lit(None).cast(_GROUP)
     empty = F.struct(F.array().cast(f"array<{_GROUP}>").alias("done"), none.alias("open"))
 
     def step(a: Column, e: Column) -> Column:
         g, end = a["open"], -e["back"]
         gap = text.piece(doc, g["end"], e["start"])
-        near = (e["start"] <= g["end"]) | ((F.length(gap) <= values.ADDRESS_GAP_MOST) & gap.rlike(f"(?U)\\A{values.ADDRESS_GAP}\\z"))
+        near = (e["start"] <= g["end"]) | ((F.length(gap) <= values.ADDRESS_GAP_MOST) & gap.rlike(f"(?U)\\A{patterns.ADDRESS_GAP}\\z"))
         near = F.coalesce(g.isNotNull() & near, F.lit(False))
         joined = F.struct(g["start"].alias("start"), F.greatest(g["end"], end).alias("end"), (g["anchored"] | e["anchored"]).alias("anchored"), (g["postcodes"] & e["postcode"]).alias("postcodes"))
         alone = F.struct(e["start"].alias("start"), end.alias("end"), e["anchored"].alias("anchored"), e["postcode"].alias("postcodes"))
@@ -59,7 +53,7 @@ def assemble(doc: Column, spans: Column, found: Column) -> Column:
     blocks = F.filter(found, lambda g: g["anchored"] & ~g["postcodes"])
 
     def block(g: Column) -> Column:
-        kept = F.regexp_replace(text.piece(doc, g["start"], g["end"]), f"{values.ADDRESS_TRIM}\\z", "")
+        kept = F.regexp_replace(text.piece(doc, g["start"], g["end"]), f"{patterns.ADDRESS_TRIM}\\z", "")
         return text.span(doc, g["start"], g["start"] + F.length(kept), "ADRESSE", values.RULE)
 
     return F.concat(rest, F.transform(blocks, block))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions import text, values
+from veilwork.functions import patterns, text, values
 
 EXPECTED = "array<struct<start:int,end:int,category:string>>"
 
@@ -133,7 +133,7 @@ def unannotated(docs: DataFrame, text_col: str = "text", expected_col: str = "ex
         one = lambda f: F.struct(F.lit(name).alias("pattern"), f["start"].alias("start"), f["end"].alias("end"), text.piece(doc, f["start"], f["end"]).alias("value"))
         return F.transform(text.find(doc, f"(?U){pattern}"), one)
 
-    found = [matches(n, p) for n, p in values.AUDIT.items()]
+    found = [matches(n, p) for n, p in patterns.AUDIT.items()]
     df = text.hold(docs.select("doc_id", F.col(expected_col).alias("_e"), F.col(text_col)), _m=F.concat(*found))
     df = df.select("doc_id", "_e", F.explode("_m").alias("m"))
     df = df.where(~F.exists("_e", lambda e: text.overlap(e, F.col("m"))))

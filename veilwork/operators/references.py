@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwork.functions import text, values
+from veilwork.functions import patterns, text, values
 
 _AMOUNT = f"(?!(?iuU:{values.AMOUNT_AFTER}))"
 # within a token a separator is always followed by a letter or digit
@@ -45,7 +45,7 @@ def announced(doc: Column, mark: Column | None = None) -> Column:
 def typed(doc: Column, mark: Column | None = None) -> Column:
     """Level 2."""
     hint = F.coalesce(doc.rlike("[0-9]{3}"), F.lit(False))
-    found = text.spans(doc, text.find(doc, "(?U)" + values.TYPED, mark=mark), "IDENTIFIANT", values.RULE)
+    found = text.spans(doc, text.find(doc, "(?U)" + patterns.TYPED, mark=mark), "IDENTIFIANT", values.RULE)
     fine = lambda s: s["text"].rlike("[A-Z]") & s["text"].rlike("(?:^|[-/])[0-9]{3,}(?:$|[-/])")
     return F.when(hint, F.filter(found, fine)).otherwise(text.none())
 
@@ -57,7 +57,7 @@ def scan(doc: Column, mark: Column | None = None) -> Column:
 def flag(doc: Column, kept: Column, mark: Column | None = None) -> Column:
     """Level 3: bare series that overlap nothing in ``kept``; reported, never masked."""
     hint = F.coalesce(doc.rlike("[0-9]{5}"), F.lit(False))
-    found = text.spans(doc, text.find(doc, f"(?U){values.BARE}(?!(?iuU:{values.AMOUNT_AFTER}))", mark=mark), "IDENTIFIANT", values.FLAG)
+    found = text.spans(doc, text.find(doc, f"(?U){patterns.BARE}(?!(?iuU:{values.AMOUNT_AFTER}))", mark=mark), "IDENTIFIANT", values.FLAG)
     free = F.filter(found, lambda s: ~F.exists(kept, lambda k: text.overlap(s, k)))
     return F.when(hint, free).otherwise(text.none())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions import text, values
+from veilwork.functions import patterns, text, values
 from veilwork.operators.codes import TABLE, canonical
 
 ANOMALY = "struct<found:string,reason:string,resolved:string,severity:string>"
@@ -13,8 +13,8 @@ ANOMALY = "struct<found:string,reason:string,resolved:string,severity:string>"
 
 def canonical_code(raw: Column) -> Column:
     """A code as the table writes it: trimmed, upper case, underscores, at least three digits."""
-    name = F.trim(F.regexp_extract(raw, values.DAMAGED_CODE, 1))
-    number = F.regexp_extract(raw, values.DAMAGED_CODE, 2)
+    name = F.trim(F.regexp_extract(raw, patterns.DAMAGED_CODE, 1))
+    number = F.regexp_extract(raw, patterns.DAMAGED_CODE, 2)
     number = F.when(F.length(number) > 0, number).cast("int")
     return F.format_string("[%s_%03d]", F.regexp_replace(F.upper(name), "[ -]", "_"), number)
 
@@ -32,7 +32,7 @@ def reinject(replies: DataFrame, reply_col: str = "reply", table_col: str = "cod
     df = text.hold(replies, _reply=F.coalesce(F.col(reply_col), F.lit("")), _table=F.coalesce(F.col(table_col).cast(TABLE), empty))
     reply, table, hits = F.col("_reply"), F.col("_table"), F.col("_hits")
     known = F.map_from_entries(F.transform(table, lambda e: F.struct(e["code"], canonical(e["values"]))))
-    df = text.hold(df, _known=known, _hits=text.spans(reply, text.find(reply, values.DAMAGED_CODE), "", values.RULE))
+    df = text.hold(df, _known=known, _hits=text.spans(reply, text.find(reply, patterns.DAMAGED_CODE), "", values.RULE))
     found = F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("raw"), canonical_code(s["text"]).alias("code")))
     df = text.hold(df, _hits=F.transform(found, lambda h: h.withField("value", F.try_element_at(F.col("_known"), h["code"]))))
     before = F.transform(hits, lambda h, i: F.concat(text.piece(reply, F.when(i > 0, F.get(hits, i - 1)["end"]).otherwise(0), h["start"]), F.coalesce(h["value"], h["raw"])))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwork.functions import keys, text, values
+from veilwork.functions import keys, patterns, text, values
 
 
 @dataclass(frozen=True)
@@ -38,18 +38,18 @@ def _digits(n: int) -> Callable[[Column], Column]:
 
 _U = "(?U)"
 RULES = (
-    Rule("EMAIL", _U + values.EMAIL, hint=_has("@")),
-    Rule("IBAN", values.IBAN, keys.iban, hint=lambda d: F.coalesce(d.rlike("[A-Z]{2}[0-9]{2}"), F.lit(False))),
-    Rule("NIR", values.NIR, keys.nir, hint=lambda d: F.coalesce(d.rlike("[12](?:[ .]?[0-9]){4}"), F.lit(False))),
-    Rule("SIRET", values.SIRET, keys.siret, hint=_digits(14)),
-    Rule("SIREN", values.SIREN, keys.siren, hint=_digits(9)),
-    Rule("CARTE_BANCAIRE", values.CARD, keys.card, hint=_digits(16)),
-    Rule("TELEPHONE", values.PHONE, hint=_digits(10)),
-    Rule("TELEPHONE", values.PHONE_ABROAD, hint=_has("+")),
-    Rule("IP", values.IP, keys.ip, hint=lambda d: F.coalesce(d.rlike("[0-9]\\.[0-9]{1,3}\\.[0-9]"), F.lit(False))),
-    Rule("PLAQUE", values.PLATE, hint=lambda d: F.coalesce(d.rlike("[A-Z]-[0-9]{3}-[A-Z]"), F.lit(False))),
-    Rule("DATE_NAISSANCE", f"(?iuU)({values.BIRTH_BEFORE})({values.DATE})", how="group"),
-    Rule("CODE_POSTAL_VILLE", _U + values.POSTCODE, hint=_digits(5)),
+    Rule("EMAIL", _U + patterns.EMAIL, hint=_has("@")),
+    Rule("IBAN", patterns.IBAN, keys.iban, hint=lambda d: F.coalesce(d.rlike("[A-Z]{2}[0-9]{2}"), F.lit(False))),
+    Rule("NIR", patterns.NIR, keys.nir, hint=lambda d: F.coalesce(d.rlike("[12](?:[ .]?[0-9]){4}"), F.lit(False))),
+    Rule("SIRET", patterns.SIRET, keys.siret, hint=_digits(14)),
+    Rule("SIREN", patterns.SIREN, keys.siren, hint=_digits(9)),
+    Rule("CARTE_BANCAIRE", patterns.CARD, keys.card, hint=_digits(16)),
+    Rule("TELEPHONE", patterns.PHONE, hint=_digits(10)),
+    Rule("TELEPHONE", patterns.PHONE_ABROAD, hint=_has("+")),
+    Rule("IP", patterns.IP, keys.ip, hint=lambda d: F.coalesce(d.rlike("[0-9]\\.[0-9]{1,3}\\.[0-9]"), F.lit(False))),
+    Rule("PLAQUE", patterns.PLATE, hint=lambda d: F.coalesce(d.rlike("[A-Z]-[0-9]{3}-[A-Z]"), F.lit(False))),
+    Rule("DATE_NAISSANCE", f"(?iuU)({patterns.BIRTH_BEFORE})({patterns.DATE})", how="group"),
+    Rule("CODE_POSTAL_VILLE", _U + patterns.POSTCODE, hint=_digits(5)),
 )
 
 
