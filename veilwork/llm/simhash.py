@@ -188,6 +188,8 @@ def fingerprint_links(words: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame
     """``(a, b)``: a set of links with the same components as all pairs of distinct ``fp`` within 3 bits."""
     workers_import(words.sparkSession)
     n = words.count()
+    tasks = max(4, -(-4 * n // TASK_WORDS))
+    words = words.repartition(tasks)  # few bytes, but each word becomes four rows of work
     bits = min(16, max(0, (n // RANGE_WORDS).bit_length()))
     rotated = "(shiftleft(fp, 16 * band) | CASE WHEN band = 0 THEN 0L ELSE shiftrightunsigned(fp, 64 - 16 * band) END)"
     dealt = words.select("fp", F.explode(F.array(*map(F.lit, range(4)))).alias("band"))
@@ -201,14 +203,14 @@ def fingerprint_links(words: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame
     again = "transform(sequence(0, 3), i -> shiftleft(value, 16) | shiftleft(CAST(i + 1 AS LONG), 12) | (shiftrightunsigned(rot, 36 - 12 * i) & 4095L))"
     prefix = f"shiftleft(CAST(band AS LONG), 16) | shiftrightunsigned(rank, {64 - bits})" if bits else "shiftleft(CAST(band AS LONG), 16)"
     dealt = dealt.withColumn("range", F.explode(F.expr(f"CASE WHEN hot IS NULL THEN array(-1L - ({prefix})) ELSE {again} END")))
-    dealt = dealt.select("range", "band", "fp", "rank").repartition(max(4, -(-4 * n // TASK_WORDS)), "range")
+    dealt = dealt.select("range", "band", "fp", "rank").repartition(tasks, "range")
     return dealt.sortWithinPartitions("range", "rank").select("range", "band", "fp").mapInArrow(_range_links, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per document."""
     fps = durable(fingerprints(docs, id_col, text_col))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     parts = connected_components(fingerprint_links(reps.select("fp"), hot_group))
     member = reps.join(parts, F.col("fp") == F.col("node"), "left")
     member = member.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
