@@ -224,6 +224,7 @@ def test_token_counts_follow_edits(spark):
         assert r.edited_sha256 == hashlib.sha256(s.encode()).hexdigest()
     none = _docs(spark, ["x"]).withColumn("edits", F.lit(None).cast(tokencount.EDITS))
     assert tokencount.edited_counts(none).first().n_tokens == 1
+    assert tokencount.edited_counts(none.limit(0)).count() == 0
 
 
 def test_budget_is_met():
@@ -582,6 +583,47 @@ def test_pipeline(spark, tmp_path):
     assert len(ids) == kept[4][1] and set(ids) <= set(range(60))
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, clashing columns: every stage keeps its columns, one row of each group stays."""
+    rng = random.Random(4)
+    good = [" ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(30)) + "." for _ in range(40)]
+    rows = [(i, g, "en", f"s{i % 3}", 1) for i, g in enumerate(good)]
+    rows += [(None, good[0], None, None, None), (None, "odd " + good[1], "en", "s1", 1), (3, good[3], "en", "s0", 1), (3, "other " * 3 + good[9], "en", "s0", 1), (None, None, None, None, None), (100, "", "", "", 0), (101, " ".join(good * 40), "en", "s0", 1)]
+    rows += [(200 + i, g.upper().replace(" ", "!! "), "en", "s0", 1) for i, g in enumerate(good[:20])]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("size", "FP", "part", "row", "h", "rank", "_veil_row", "_veil_id", "_veil_part", "_veil_stats", "_veil_toxic", "_veil_copies", "dig", "n_tokens"):
+        docs = docs.withColumn(name, F.lit(7))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(40), *range(200, 220)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    step, sizes = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+        step.write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
+        sizes[name] = step.count()
+        if name == "simhash":
+            texts = [r.text for r in step.collect()]
+            assert len(texts) == len(set(texts)) and sum(good[0] == x for x in texts) == 1 and any((x or "").startswith("other") for x in texts)
+    out = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path))
+    assert out.count() == sizes["mixing"] > 0
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0, name
+
+
+def test_classifiers_of_one_class(spark):
+    docs = _docs(spark, ["a b c.", "d e f.", None, "g"], extra=True)
+    for mark, n in (("quality", 1), ("quality", 0), ("toxic", 1), ("toxic", 0)):
+        labels = spark.createDataFrame([(i, n, n) for i in range(4)], "doc_id long, quality int, toxic int")
+        part = quality if mark == "quality" else toxicity
+        rows = part.score(docs, part.fit(docs, labels)).collect()
+        learned = sum(not r.held_out for r in rows)
+        assert {round(r.score, 9) for r in rows} == {round((n * learned + 1) / (learned + 2), 9)}
+        none = part.score(docs, part.fit(docs, labels.limit(0))).collect()
+        assert len(none) == 4 and len({r.score for r in none}) == 1
+
+
 def test_near_copies_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON_FROM", 2)
     rng = random.Random(11)

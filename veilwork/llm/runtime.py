@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.sources.tables import read_table
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -57,7 +59,7 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_import(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def remove(spark: SparkSession, folder: str) -> None:
