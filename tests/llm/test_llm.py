@@ -624,8 +624,10 @@ def test_classifiers_of_one_class(spark):
         assert len(none) == 4 and len({r.score for r in none}) == 1
 
 
-def test_near_copies_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_copies_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "COMMON_FROM", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("aeioulnrst", k=5))
     line, texts = [word() for _ in range(12)], [*EDGE]
