@@ -109,6 +109,8 @@ def test_analysis_cases(spark):
 def test_text_with_the_mark_is_scanned(spark):
     df = spark.createDataFrame([(1, " a@example.org ")], "doc_id long, text string")
     assert [s.text for s in pipeline.analyse(df).first().spans] == ["a@example.org"]
+    df = spark.createDataFrame([(1, "".join(text.MARKS) + " a@example.org \ue002 192.0.2.1")], "doc_id long, text string")
+    assert [s.text for s in pipeline.analyse(df).first().spans] == ["a@example.org", "192.0.2.1"]
 
 
 def _greedy(spans):

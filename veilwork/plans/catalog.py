@@ -132,7 +132,7 @@ def mask_emails(spark, sf):
 
 @_query(None)
 def mask_documents(spark, sf):
-    """The whole rule analysis of every document; its parts have their own checks, and tests hold it to a plain version."""
+    """The whole rule analysis of every document. Its parts have queries with SQL; letters, cases and keyed scans check them together."""
     done = pipeline.pseudonymise(_table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.size("spans").alias("n_masked"), F.size("flags").alias("n_flagged"), "masked_text")
 
