@@ -106,6 +106,29 @@ def test_analysis_cases(spark):
     assert pipeline.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_analysis_against_a_plain_version(spark):
+    """Random texts of values, near misses, triggers and addresses: spans, flags and masked text of the engine and of a plain walk."""
+    from tests import plain
+
+    bits = [
+        "zoe@example.org", "a.b@x", "ZZ43 0000 0000 0000 0000 0000 123", "ZZ44 0000 0000 0000 0000 0000 123", "2 85 12 99 999 456 76", "2851299999456 77", "120 027 016 00563", "120027016",
+        "35600000000006", "4242 4242 4242 4242", "4242424242424243", "06 39 98 01 02", "+44 20 7946 0000", "192.0.2.1", "300.1.1.1", "AA-123-BB", "né le 03/05/1980", "née le 1er mai 1980", "00100 Nullepart Cedex 2",
+        "F-00100 Saint-Exemple", "12 bis rue de l'Exemple", "bâtiment B", "2e étage", "BP 12", "avenue", "Dossier n°", "dossier", "réf.", "Référence :", "5512", "QX-1234", "AB12-2026-0001", "7730021", "99812", "99812 €",
+        "loi n°", "décret", "article L.", "2024-1200", "14/07/2026", "1ère", "12 345 678", "Zoé", "place", ".", ",", ";", "-", "(", "«", "",
+    ]
+    rng = random.Random(12)
+    docs = [(i, "".join(x + rng.choice([" ", " ", " ", "\n", ", ", "  "]) for x in rng.choices(bits, k=rng.randint(1, 14)))) for i in range(600)]
+    done = pipeline.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = 0
+    for r in done:
+        spans, flags = plain.analyse(r.text)
+        assert [(s.start, s.end, s.category) for s in r.spans] == spans, r.text
+        assert [(s.start, s.end, s.category) for s in r.flags] == flags, r.text
+        assert r.masked_text == plain.mask(r.text, spans)
+        found += len(spans)
+    assert found > 1500
+
+
 def test_text_with_the_mark_is_scanned(spark):
     df = spark.createDataFrame([(1, " a@example.org ")], "doc_id long, text string")
     assert [s.text for s in pipeline.analyse(df).first().spans] == ["a@example.org"]
