@@ -5,6 +5,8 @@ A null value is never valid. Everything stays in the JVM; IBAN uses a running re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _chars(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, for which ``value`` is computed once however often it is named, also inside loops over spans."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn(value: Column) -> Column:
     d = digits(value)
     return _sure((F.length(d) >= 2) & F.call_function("luhn_check", d))
@@ -44,20 +51,34 @@ def card(value: Column) -> Column:
 
 
 def iban(value: Column) -> Column:
+    """Letters are two digits each; what has the shape is at most 66 digits long, whose remainder is taken 15 digits at a time."""
+
+    def spelled(raw: Column) -> Column:
+        number = F.concat(F.substring(raw, F.lit(5), F.length(raw)), F.substring(raw, F.lit(1), F.lit(4)))
+        for i in range(26):
+            number = F.replace(number, F.lit(chr(65 + i)), F.lit(str(10 + i)))
+        return F.when(raw.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.lpad(number, 75, "0"))
+
+    def rest(number: Column) -> Column:
+        r = F.lit(0).cast("bigint")
+        for at in range(1, 75, 15):
+            r = (r * 10**15 + F.substring(number, at, 15).cast("bigint")) % 97
+        return r
+
     raw = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
-    turned = F.concat(F.substring(raw, F.lit(5), F.length(raw)), F.substring(raw, F.lit(1), F.lit(4)))
-    number = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(_chars(turned), F.lit(0), lambda r, c: (r * F.when(c.between("0", "9"), 10).otherwise(100) + number(c)) % 97)
-    return _sure(raw.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & F.length(raw).between(15, 34) & (rest == 1))
+    return _sure(_with(_with(raw, spelled), rest) == 1)
 
 
 def nir(value: Column) -> Column:
     """Thirteen characters and a key of two; the Corsican departments 2A and 2B count as 19 and 18."""
-    raw = F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    body, key, dep = F.substring(raw, 1, 13), F.substring(raw, 14, 2), F.substring(raw, 6, 2)
-    body = F.when(dep == "2A", F.concat(F.substring(raw, 1, 5), F.lit("19"), F.substring(raw, 8, 6))).when(dep == "2B", F.concat(F.substring(raw, 1, 5), F.lit("18"), F.substring(raw, 8, 6))).otherwise(body)
-    number = F.when(body.rlike("^[0-9]{13}$"), body).cast("bigint")
-    return _sure((F.length(raw) == 15) & key.rlike("^[0-9]{2}$") & (F.when(key.rlike("^[0-9]{2}$"), key).cast("int") == 97 - number % 97))
+
+    def holds(raw: Column) -> Column:
+        body, key, dep = F.substring(raw, 1, 13), F.substring(raw, 14, 2), F.substring(raw, 6, 2)
+        body = F.when(dep == "2A", F.concat(F.substring(raw, 1, 5), F.lit("19"), F.substring(raw, 8, 6))).when(dep == "2B", F.concat(F.substring(raw, 1, 5), F.lit("18"), F.substring(raw, 8, 6))).otherwise(body)
+        number = F.when(body.rlike("^[0-9]{13}$"), body).cast("bigint")
+        return (F.length(raw) == 15) & key.rlike("^[0-9]{2}$") & (F.when(key.rlike("^[0-9]{2}$"), key).cast("int") == 97 - number % 97)
+
+    return _sure(_with(F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", "")), holds))
 
 
 def ip(value: Column) -> Column:
