@@ -679,3 +679,10 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     got = corpus_pipeline.distinct(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in got) == [(0, "c0"), (1, ""), (5, "a0"), (5, "d0"), (7, "b0")]
+
+
+def test_fingerprint_index_links_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "prefix", lambda s, common: s[:0])  # texts meet by no shingle
+    base = [f"w{i}" for i in range(400)]
+    docs = _docs(spark, [" ".join(base), " ".join([*base, "end"]), " ".join(f"x{i}" for i in range(400))])
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()) == [0, 2]

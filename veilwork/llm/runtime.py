@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +46,35 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the shuffle files and checkpoints removed that nothing refers to any more.
+
+    Spark removes them when the driver's memory is collected, which large inputs do not bring about more often than small ones.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Plans executed inside send at most ``rows`` rows to Python in a batch; for rows that hold whole texts several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Plans executed inside send at most ``rows`` rows to Python in a batch; for rows that hold whole texts several times."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def plain_plans(spark: SparkSession) -> AbstractContextManager[None]:
+    """Plans executed inside infer no constraints. A checkpoint hands them on, so in many rounds planning would take longer each time."""
+    return _setting(spark, "spark.sql.constraintPropagation.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_import(spark)
     return read_table(spark, f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import jaccard
 from veilwork.llm.graph import connected_components
 from veilwork.llm.runtime import durable, table, workers_import
 
@@ -66,7 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(count * 2 > total).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of the digests whose bytes are ``h``, big-endian one after the other."""
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8 * _AT_ONCE):
+        count += np.unpackbits(h[i : i + 8 * _AT_ONCE]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(count * 16 > len(h)).tobytes(), "big")
+
+
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -77,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)]
+            fps = [signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, "doc_id long, fp long")
@@ -225,9 +232,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies: one row stays of each group of texts whose five-word shingles are alike by 0.8 or more.
 
-    Texts so alike differ in up to a dozen of 64 fingerprint bits, more than any index can look up exactly, so the links of this
-    similarity come from ``jaccard``, which misses none; ``near_groups`` links by fingerprints.
+    The index finds the links of fingerprints within ``MAX_BITS``, and the texts confirm them. Texts alike by 0.8 differ in up to
+    a dozen of 64 fingerprint bits, more than any index can look up exactly, so ``jaccard`` adds the links that are still missing.
     """
+    from veilwork.llm import jaccard  # it takes fingerprints and their index from here
+
     return jaccard.drop_near_copies(docs, id_col, text_col)
 
 
