@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions import keys, patterns, text, values
-from veilwork.operators import codes, evaluation, fusion, model, references, reinjection, review
+from veilwork.operators import codes, evaluation, fusion, model, references, reinjection, review, rules
 from veilwork.plans import pipeline
 from veilwork.sources import files
 
@@ -464,3 +464,36 @@ def test_iban_of_letters_by_whole_numbers(spark):
     assert [r.i for r in got.collect() if r.got != r.want] == [] and sum(r[2] for r in rows) > 100
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1 and "sequence" not in plan  # the value is cleaned once, not once a character
+
+
+def test_a_scan_finds_the_mark_once_a_row(spark):
+    from veilwork.plans import catalog
+
+    plan = catalog.queries()["scan_keyed_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("every private-use character") == 1  # 36 times before, at each use in each rule
+
+
+def test_short_keys_by_whole_numbers(spark):
+    """Accounts of digits of every length and departments of Corsica against plain arithmetic; letters elsewhere are no key."""
+    rng, rows = random.Random(5), [("nir", "2A0059900101" + "845", False), ("nir", "2850A1299999456", False)]
+    for n in range(9, 33):
+        account = "".join(rng.choice("0123456789") for _ in range(n))
+        right = 98 - int(f"{account}{rng.choice(('3535', '1027'))}00") % 97
+        for country in ("ZZ", "AR"):
+            for check in (right, rng.randrange(100)):
+                number = int(f"{account}{''.join(str(ord(c) - 55) for c in country)}{check:02d}")
+                rows.append(("iban", f"{country}{check:02d}{account}", 11 <= n <= 30 and number % 97 == 1))
+    for dep, plain in (("2A", "19"), ("2B", "18"), ("75", "75")):
+        body = f"2{rng.randrange(100):02d}05{dep}{rng.randrange(10**6):06d}"
+        key = 97 - int(body.replace(dep, plain)) % 97
+        rows += [("nir", f"{body}{key:02d}", True), ("nir", f"{body}{key % 97 + 1:02d}", False), ("nir", f"{body}{key:02d}0", False)]
+    assert sum(r[2] for r in rows) > 20
+    got = F.when(F.col("kind") == "iban", keys.iban(F.col("value"))).otherwise(keys.nir(F.col("value")))
+    assert [r for r in spark.createDataFrame(rows, "kind string, value string, valid boolean").withColumn("got", got).collect() if r.valid != r.got] == []
+
+
+def test_hints_pass_what_their_patterns_take(spark):
+    """The test in front of the postcodes took only 0 to 9, their pattern takes all digits."""
+    texts = ["à ٧٥٠٠١ Paris", "le 75001  Le Mans CEDEX 09", "NÉE LE 3/4/1980", "Date De Naissance: 1er mai 1980", "né le 03.04.80"]
+    found = text.hold(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), s=rules.scan(F.col("t"))).orderBy("i").collect()
+    assert [[s.text for s in r.s] for r in found] == [["٧٥٠٠١ Paris"], ["75001  Le Mans CEDEX 09"], ["3/4/1980"], ["1er mai 1980"], ["03.04.80"]]

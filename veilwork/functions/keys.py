@@ -51,32 +51,39 @@ def card(value: Column) -> Column:
 
 
 def iban(value: Column) -> Column:
-    """Letters are two digits each; what has the shape is at most 66 digits long, whose remainder is taken 15 digits at a time."""
+    """Letters are two digits each. An account of digits is at most 36 digits then, which a decimal holds; what else has the
+    shape is at most 66, whose remainder is taken 15 digits at a time."""
 
     def spelled(raw: Column) -> Column:
         number = F.concat(F.substring(raw, F.lit(5), F.length(raw)), F.substring(raw, F.lit(1), F.lit(4)))
         for i in range(26):
             number = F.replace(number, F.lit(chr(65 + i)), F.lit(str(10 + i)))
-        return F.when(raw.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.lpad(number, 75, "0"))
+        return F.lpad(number, 75, "0")
 
     def rest(number: Column) -> Column:
         r = F.lit(0).cast("bigint")
         for at in range(1, 75, 15):
             r = (r * 10**15 + F.substring(number, at, 15).cast("bigint")) % 97
-        return r
+        return r == 1
 
-    raw = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
-    return _sure(_with(_with(raw, spelled), rest) == 1)
+    def short(raw: Column) -> Column:
+        country = [(F.ascii(F.substring(raw, i, 1)) - 55).cast("string") for i in (1, 2)]
+        return F.concat(F.substring(raw, F.lit(5), F.length(raw)), *country, F.substring(raw, 3, 2)).cast("decimal(38,0)") % 97 == 1
+
+    def holds(raw: Column) -> Column:
+        with_letters = F.when(raw.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), _with(spelled(raw), rest))
+        return F.when(raw.rlike("^[A-Z]{2}[0-9]{13,32}$"), short(raw)).otherwise(with_letters)
+
+    return _sure(_with(F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", "")), holds))
 
 
 def nir(value: Column) -> Column:
     """Thirteen characters and a key of two; the Corsican departments 2A and 2B count as 19 and 18."""
 
     def holds(raw: Column) -> Column:
-        body, key, dep = F.substring(raw, 1, 13), F.substring(raw, 14, 2), F.substring(raw, 6, 2)
-        body = F.when(dep == "2A", F.concat(F.substring(raw, 1, 5), F.lit("19"), F.substring(raw, 8, 6))).when(dep == "2B", F.concat(F.substring(raw, 1, 5), F.lit("18"), F.substring(raw, 8, 6))).otherwise(body)
-        number = F.when(body.rlike("^[0-9]{13}$"), body).cast("bigint")
-        return (F.length(raw) == 15) & key.rlike("^[0-9]{2}$") & (F.when(key.rlike("^[0-9]{2}$"), key).cast("int") == 97 - number % 97)
+        number = F.substring(F.replace(F.replace(raw, F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18")), 1, 13)
+        right = F.substring(raw, 14, 2).cast("int") == 97 - number.cast("bigint") % 97
+        return F.when(raw.rlike("^[0-9]{5}(?:[0-9]{2}|2[AB])[0-9]{8}$"), right)
 
     return _sure(_with(F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", "")), holds))
 

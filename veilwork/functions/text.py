@@ -53,7 +53,15 @@ def _fold(parts: Column, period: int) -> Column:
             F.when(hit, F.array_append(a["out"], F.struct(here.alias("start"), (here + n).alias("end")))).otherwise(a["out"]).alias("out"),
         )
 
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+    def folded(p: Column) -> Column:
+        every = F.aggregate(p, start, step, lambda a: a["out"])
+        if period == 3:
+            return every
+        at = F.length(F.get(p, F.lit(0)))
+        one = F.array(F.struct(at.alias("start"), (at + F.length(F.get(p, F.lit(1)))).alias("end"))).cast(_FOUND)
+        return F.when(F.size(p) == 3, one).otherwise(every)  # a single match, which most texts with one have, needs no fold
+
+    return F.get(F.transform(F.array(parts), folded), F.lit(0))
 
 
 def find(text: Column, pattern: str | Column, how: str = "match", mark: Column | None = None) -> Column:
@@ -61,13 +69,14 @@ def find(text: Column, pattern: str | Column, how: str = "match", mark: Column |
 
     ``match``: the whole match. ``group``: the pattern is two groups, and the second is the span. ``ahead``: a group, then a
     look-ahead of two groups, and the last is the span, so that what is skipped may hold further matches. ``mark`` is
-    ``mark_for(text)`` where the caller holds it.
+    ``mark_for(text)`` where the caller holds it. A text that has no match of a fixed pattern is only searched, neither marked nor split.
     """
     text = F.coalesce(text, F.lit(""))
     m = mark_for(text) if mark is None else mark
     shape = {"match": (m, F.lit("$0"), m), "group": (F.lit("$1"), m, F.lit("$2"), m), "ahead": (F.lit("$1"), m, F.lit("$2"), m, F.lit("$3"), m)}[how]
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return _fold(F.split(F.regexp_replace(text, pattern, F.concat(*shape)), m, -1), 3 if how == "ahead" else 2)
+    fixed = isinstance(pattern, str)
+    found = _fold(F.split(F.regexp_replace(text, F.lit(pattern) if fixed else pattern, F.concat(*shape)), m, -1), 3 if how == "ahead" else 2)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_FOUND)) if fixed else found
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:

@@ -32,24 +32,28 @@ def _has(part: str) -> Callable[[Column], Column]:
     return lambda doc: F.coalesce(F.contains(doc, F.lit(part)), F.lit(False))
 
 
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda doc: F.coalesce(doc.rlike(pattern), F.lit(False))
+
+
 def _digits(n: int) -> Callable[[Column], Column]:
-    return lambda doc: F.coalesce(doc.rlike(f"[0-9](?:[^0-9\\n]?[0-9]){{{n - 1}}}"), F.lit(False))
+    return _like(f"[0-9](?:[^0-9\\n]?[0-9]){{{n - 1}}}")
 
 
 _U = "(?U)"
 RULES = (
     Rule("EMAIL", _U + patterns.EMAIL, hint=_has("@")),
-    Rule("IBAN", patterns.IBAN, keys.iban, hint=lambda d: F.coalesce(d.rlike("[A-Z]{2}[0-9]{2}"), F.lit(False))),
-    Rule("NIR", patterns.NIR, keys.nir, hint=lambda d: F.coalesce(d.rlike("[12](?:[ .]?[0-9]){4}"), F.lit(False))),
+    Rule("IBAN", patterns.IBAN, keys.iban, hint=_like("[A-Z]{2}[0-9]{2}")),
+    Rule("NIR", patterns.NIR, keys.nir, hint=_like("[12](?:[ .]?[0-9]){4}")),
     Rule("SIRET", patterns.SIRET, keys.siret, hint=_digits(14)),
     Rule("SIREN", patterns.SIREN, keys.siren, hint=_digits(9)),
     Rule("CARTE_BANCAIRE", patterns.CARD, keys.card, hint=_digits(16)),
     Rule("TELEPHONE", patterns.PHONE, hint=_digits(10)),
     Rule("TELEPHONE", patterns.PHONE_ABROAD, hint=_has("+")),
-    Rule("IP", patterns.IP, keys.ip, hint=lambda d: F.coalesce(d.rlike("[0-9]\\.[0-9]{1,3}\\.[0-9]"), F.lit(False))),
-    Rule("PLAQUE", patterns.PLATE, hint=lambda d: F.coalesce(d.rlike("[A-Z]-[0-9]{3}-[A-Z]"), F.lit(False))),
-    Rule("DATE_NAISSANCE", f"(?iuU)({patterns.BIRTH_BEFORE})({patterns.DATE})", how="group"),
-    Rule("CODE_POSTAL_VILLE", _U + patterns.POSTCODE, hint=_digits(5)),
+    Rule("IP", patterns.IP, keys.ip, hint=_like("[0-9]\\.[0-9]{1,3}\\.[0-9]")),
+    Rule("PLAQUE", patterns.PLATE, hint=_like("[A-Z]-[0-9]{3}-[A-Z]")),
+    Rule("DATE_NAISSANCE", f"(?iuU)({patterns.BIRTH_BEFORE})({patterns.DATE})", how="group", hint=_like("[nN][eEéÉ]|[dD][aA][tT][eE]")),
+    Rule("CODE_POSTAL_VILLE", _U + patterns.POSTCODE, hint=_like(f"\\p{{Nd}}{{5}} +[{values.CAPITALS}]")),
 )
 
 

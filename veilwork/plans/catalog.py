@@ -481,7 +481,8 @@ _KEYED = f"concat('Compte ', {_KEYED_IBAN}, '; assurance ', {_KEYED_NIR}, '; ent
 def scan_keyed_orders(spark, sf):
     """IBAN, NIR, SIREN and numbers abroad within a text: right and wrong keys, too few digits, and more than a number has."""
     docs = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("doc_id"), F.expr(_KEYED).alias("text"))
-    found = text.hold(docs, s=rules.scan(F.col("text"), text.mark_for(F.col("text")))).select("doc_id", F.explode("s").alias("s"))
+    docs = text.hold(docs, mark=text.mark_for(F.col("text")))
+    found = text.hold(docs, s=rules.scan(F.col("text"), F.col("mark"))).select("doc_id", F.explode("s").alias("s"))
     return found.select("doc_id", F.col("s.category").alias("category"), F.col("s.text").alias("value"))
 
 
