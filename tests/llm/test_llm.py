@@ -43,6 +43,25 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 1000])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    """However many edges are left to one task; and so many plans that a driver's memory holds them."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(120) - 60, rng.randrange(120) - 60) for _ in range(90)] + [(1000 - i, 999 - i) for i in range(90)] + [(-(1 << 62), 1 << 62)]
+    par = {x: x for e in edges for x in e}
+    for a, b in edges:
+        par[_root(par, a)] = _root(par, b)
+    jobs = lambda: spark._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    got = [(r.node, r.root) for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()]
+    if few == 1000:
+        assert jobs() - before <= 8
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len(nodes) and {n for n, _ in got} == nodes
+    root = dict(got)
+    assert all((root[a] == root[b]) == (_root(par, a) == _root(par, b)) for a in nodes for b in nodes)
+
+
 def _plain_fingerprint(text):
     import xxhash
 

@@ -354,8 +354,9 @@ def near_sets(docs: DataFrame, text_col: str = "text", sets: DataFrame | None =
     give_back(spark)
     links = linked(proposed.unionAll(against(groups, 1)), sets.withColumn("root", F.col("dig")))
     large = groups.where(F.size("m") > 2)
-    rest = apart(rooted(links)).select("g", F.col("m.dig").alias("m"))
-    links = links.unionAll(linked(against(rest, -1), rooted(links)))
+    known = rooted(links)
+    rest = apart(known).select("g", F.col("m.dig").alias("m"))
+    links = links.unionAll(linked(against(rest, -1), known))
     known = rooted(links)
     rest = apart(known).select("g", F.inline("m")).join(sets.select("dig", "bits"), "dig")
     rest = rest.groupBy("g").agg(F.collect_list(F.struct("dig", "n", "root", "bits")).alias("m")).select("m")
